@@ -137,4 +137,7 @@ def stem_column(df: DataFrame, word_col: str, out_col: str = "stem") -> DataFram
     ]
     start = df.withColumn(out_col, F.lower(word_col)).withColumn(LONG, F.length(word_col) > 2)
     done = reduce(lambda acc, step: step(acc, out_col), steps, start)
-    return done.drop(LONG, "_suffix", "_base")
+    # A filter on the stem must stay above this line: pushed through the steps it
+    # would repeat each of them inside the next. A generator's output stops it.
+    kept = [c for c in df.columns if c != out_col]
+    return done.select(*kept, F.explode(F.array(out_col)).alias(out_col))

@@ -36,6 +36,11 @@ MARKS = {
 PROFILE = ["WC", "WPS", "Sixltr", "Dic", "AllPunc", *MARKS, "OtherP"]
 
 
+def last_word_start(c: Column) -> Column:
+    """Characters before the last word of a ``_``-joined term; a ``*`` stays inside one word."""
+    return F.length(c) - F.length(F.substring_index(c, "_", -1))
+
+
 def minimal_patterns(lexicon: DataFrame) -> DataFrame:
     """Drop patterns a shorter ``*`` pattern of the same category already covers.
 
@@ -46,11 +51,13 @@ def minimal_patterns(lexicon: DataFrame) -> DataFrame:
     patterns = lexicon.select(*keys, "pattern").distinct()
     text = F.regexp_replace("pattern", r"\*$", "")
     ends = F.when(F.endswith("pattern", F.lit("*")), F.length(text) - 1).otherwise(F.length(text))
+    starts = F.greatest(last_word_start(text), F.lit(1))
     shorter = (
         patterns.withColumn("_text", text)
         .withColumn("_ends", ends)
-        .where(F.col("_ends") > 0)
-        .select(*keys, "pattern", F.explode(F.sequence(F.lit(1), F.col("_ends"))).alias("_k"), "_text")
+        .withColumn("_starts", starts)
+        .where(F.col("_ends") >= F.col("_starts"))
+        .withColumn("_k", F.explode(F.sequence("_starts", "_ends")))
         .withColumn("_cover", F.concat(F.substring("_text", F.lit(1), F.col("_k")), F.lit("*")))
     )
     covers = patterns.select(*keys, F.col("pattern").alias("_cover"))
@@ -58,23 +65,27 @@ def minimal_patterns(lexicon: DataFrame) -> DataFrame:
     return patterns.join(covered, [*keys, "pattern"], "left_anti")
 
 
-def match_patterns(cells: DataFrame, lexicon: DataFrame, keys: Sequence[str]) -> DataFrame:
+def match_patterns(
+    cells: DataFrame, lexicon: DataFrame, keys: Sequence[str], extra: DataFrame | None = None
+) -> DataFrame:
     """``(keys…, term, n, dict, category)`` for every category a term belongs to.
 
     Only prefixes of a length some pattern has are tried, by equality. Nothing
-    compares each term with each pattern.
+    compares each term with each pattern. ``extra`` adds ready patterns.
     """
     minimal = minimal_patterns(lexicon)
+    minimal = minimal if extra is None else minimal.unionByName(extra)
     by_pattern = minimal.groupBy("pattern").agg(
         F.collect_set(F.struct("dict", "category")).alias("_hits")
     )
     starred = minimal.where(F.endswith("pattern", F.lit("*")))
     lengths = starred.agg(F.array_sort(F.collect_set(F.length("pattern") - 1))).scalar()
     stars = F.transform(
-        F.filter(lengths, lambda k: k <= F.length("term")),
+        F.filter("_lengths", lambda k: (k <= F.length("term")) & (k >= F.col("_from"))),
         lambda k: F.concat(F.substring("term", F.lit(1), k), F.lit("*")),
     )
-    tried = cells.select(
+    ready = cells.withColumns({"_lengths": lengths, "_from": last_word_start(F.col("term"))})
+    tried = ready.select(
         *keys, "term", "n", F.explode(F.concat(F.array("term"), stars)).alias("pattern")
     )
     return lookup(tried, by_pattern, "pattern", "inner").select(
@@ -94,22 +105,22 @@ def category_counts(
     """One count column per ``(dict, category)``; texts without a match keep zeros.
 
     ``max_words`` is the longest multi-word pattern. Every text brings one empty
-    cell along, which carries it through the join.
+    term along, which meets an empty pattern and so carries the text through the
+    inner join, where all other unmatched terms stop.
     """
     tokens = words(text_col) if max_words == 1 else ngrams(words(text_col), 1, max_words)
+    anchor = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("n")))
     counts = F.when(F.col(text_col).isNotNull(), count_runs(tokens))
-    cells = df.select(id_col, F.inline(counts))
-    matched = match_patterns(cells, lexicon, [id_col]).select(id_col, "n", "dict", "category")
-    anchor = df.select(
-        id_col, F.lit(0).cast("long").alias("n"), F.lit("").alias("dict"), F.lit("").alias("category")
-    )
+    cells = df.select(id_col, F.inline(F.concat(anchor, F.coalesce(counts, anchor))))
+    empty = lexicon.sparkSession.sql("SELECT '' AS dict, '' AS category, '' AS pattern")
+    matched = match_patterns(cells, lexicon, [id_col], empty)
     sums = [
         F.sum(F.when((F.col("dict") == d) & (F.col("category") == c), F.col("n")).otherwise(0)).alias(
             name(d, c)
         )
         for d, c in categories
     ]
-    return matched.unionByName(anchor).groupBy(id_col).agg(*sums)
+    return matched.groupBy(id_col).agg(*sums)
 
 
 def profile_counts(text: Column) -> Column:

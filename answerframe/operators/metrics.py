@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,9 @@ def scores(rows: DataFrame, by: Sequence[str], y: str = "y", pred: str = "pred")
     miss = F.col(y) - F.col(pred)
     mse = F.avg(miss * miss)
     spread = F.var_pop(y)
-    constant = (F.stddev_pop(y) == 0) | (F.stddev_pop(pred) == 0)
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.when(~constant, F.corr(pred, y)).alias("r"),
+        safe_corr(pred, y).alias("r"),
         (1 - mse / F.when(spread > 0, spread)).alias("r2"),
         mse.alias("mse"),
     )
@@ -45,7 +44,7 @@ def feature_target_corr(
     turned into rows.
     """
     pairs = [(f, t) for t in targets for f in features]
-    wide = df.agg(*[_corr(f, t).alias(f"r{i}") for i, (f, t) in enumerate(pairs)])
+    wide = df.agg(*[safe_corr(f, t).alias(f"r{i}") for i, (f, t) in enumerate(pairs)])
     rows = F.array(
         *[
             F.struct(F.lit(t).alias("target"), F.lit(f).alias("feature"), F.col(f"r{i}").alias("r"))
@@ -56,8 +55,8 @@ def feature_target_corr(
     return wide.select(F.inline(rows)).withColumn("rank", F.row_number().over(order))
 
 
-def _corr(x: str, y: str):
+def safe_corr(x: str, y: str) -> Column:
     """Correlation over the rows where both are present; null without variance."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     xs, ys = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.when((F.stddev_pop(xs) > 0) & (F.stddev_pop(ys) > 0), F.corr(xs, ys))
+    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))

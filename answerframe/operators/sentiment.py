@@ -48,14 +48,16 @@ def shifter_sentiment(
     )
     texts = df.select(id_col, F.inline(fields))
     sentences = F.split(F.lower("text"), SENTENCE_END)
-    pieces = texts.select(id_col, "field", F.posexplode(sentences).alias("sent", "sentence"))
+    pieces = texts.select(id_col, "field", F.posexplode(sentences).alias("sent", "sentence")).where(
+        F.col("sentence").rlike(r"\p{L}")
+    )
     clauses = pieces.select(
         id_col,
         "field",
         "sent",
         F.size(words("sentence")).alias("n_words"),
         F.posexplode(F.split("sentence", CLAUSE_END)).alias("clause", "part"),
-    ).where(F.col("n_words") > 0)
+    )
     tokens = clauses.select(
         id_col, "field", "sent", "clause", "n_words", F.posexplode(words("part")).alias("pos", "term")
     )

@@ -185,40 +185,43 @@ m AS (SELECT doc_id, len(w)::DOUBLE AS W, len(replace(joined, '''', ''))::DOUBLE
 f AS (SELECT *, nullif(W, 0) AS N, CASE WHEN W > 0 THEN W / St END AS asl FROM m)"""
 
 FORMULAS = {
-    "Flesch_Kincaid": "0.39 * asl + 11.8 * Sy / N - 15.59",
-    "Dale_Chall_old": "15.79 * D / N + 0.0496 * asl + CASE WHEN D / N > 0.05 THEN 3.6365 ELSE 0 END",
-    "Wheeler_Smith": "asl * 10 * W2 / N",
+    "Flesch_Kincaid": "0.39 * asl + 11.8 * (Sy / N) - 15.59",
+    "Dale_Chall_old": "15.79 * (D / N) + 0.0496 * asl + CASE WHEN D / N > 0.05 THEN 3.6365 ELSE 0 END",
+    "Wheeler_Smith": "asl * 10 * (W2 / N)",
     "meanSentenceLength": "asl",
     "meanWordSyllables": "Sy / N",
-    "Strain": "CASE WHEN W > 0 THEN Sy / (St / 3) / 10 END",
-    "SMOG": "CASE WHEN W > 0 THEN 1.043 * sqrt(30 * W3 / St) + 3.1291 END",
+    "Strain": "CASE WHEN W > 0 THEN Sy * 3 / St / 10 END",
+    "SMOG": "CASE WHEN W > 0 THEN 1.043 * sqrt(30 * (W3 / St)) + 3.1291 END",
     "Scrabble": "tile_score / nullif(letters, 0)",
-    "FOG": "0.4 * (asl + 100 * W3 / N)",
-    "Farr_Jenkins_Paterson": "-31.517 - 1.015 * asl + 1.599 * 100 * (W - W2) / N",
+    "FOG": "0.4 * (asl + 100 * (W3 / N))",
+    "Farr_Jenkins_Paterson": "-31.517 - 1.015 * asl + 1.599 * 100 * ((W - W2) / N)",
     "DRP": (
-        "100 * (1 - (0.886593 - 0.08364 * C / N + 0.161911 * power((W - D) / N, 3) - 0.021401 * asl"
+        "100 * (1 - (0.886593 - 0.08364 * (C / N) + 0.161911 * power((W - D) / N, 3) - 0.021401 * asl"
         " + 0.000577 * asl * asl - 0.000005 * asl * asl * asl))"
     ),
-    "Dale_Chall": "64 - 95 * D / N - 0.69 * asl",
+    "Dale_Chall": "64 - 95 * (D / N) - 0.69 * asl",
 }
 SCORES = {
-    "avg_syllables_per_word": "round(Sy / N, 2)",
-    "avg_sentence_length": "round(asl, 2)",
-    "flesch_ease_score": "206.835 - 1.015 * asl - 84.6 * Sy / N",
+    "avg_syllables_per_word": "round(Sy / N + 1e-9, 2)",
+    "avg_sentence_length": "round(asl + 1e-9, 2)",
+    "flesch_ease_score": "206.835 - 1.015 * asl - 84.6 * (Sy / N)",
     "flesch_grade_score": FORMULAS["Flesch_Kincaid"],
     "linsear_write_score": (
         "CASE WHEN W > 0 THEN CASE WHEN linsear > 20 THEN linsear / 2 ELSE (linsear - 2) / 2 END END"
     ),
     "dale_chall_score": FORMULAS["Dale_Chall_old"],
     "gunning_fog_score": FORMULAS["FOG"],
-    "smog_score": "CASE WHEN W > 0 THEN CASE WHEN St >= 3 THEN 1.043 * sqrt(30 * W3 / St) + 3.1291 ELSE 0 END END",
-    "automated_readability_score": "4.71 * Nc / N + 0.5 * asl - 21.43",
-    "coleman_liau_score": "0.058 * (100 * C / N) - 0.296 * (100 * St / N) - 15.8",
+    "smog_score": "CASE WHEN W > 0 THEN CASE WHEN St >= 3 THEN 1.043 * sqrt(30 * (W3 / St)) + 3.1291 ELSE 0 END END",
+    "automated_readability_score": "4.71 * (Nc / N) + 0.5 * asl - 21.43",
+    "coleman_liau_score": "0.058 * 100 * (C / N) - 0.296 * 100 * (St / N) - 15.8",
 }
 
 
 def measured(formulas: dict[str, str]) -> str:
-    return ", ".join(f"round(CAST({sql} AS DOUBLE), 6) + 0.0 AS {name}" for name, sql in formulas.items())
+    # the nudge settles exact decimal ties the same way on both sides
+    return ", ".join(
+        f"round(CAST({sql} AS DOUBLE) + 1e-9, 6) + 0.0 AS {name}" for name, sql in formulas.items()
+    )
 
 
 ORACLE["readability_counts"] = f"""
@@ -234,12 +237,12 @@ for _i, _c in enumerate(ANSWERS, 1):
     _st = f"greatest(1, len(regexp_extract_all({_c}, '[.!?]+')))"
     _nb = f"nullif(length({_c}) - length(replace({_c}, ' ', '')), 0)"
     _by_answer += [
-        f"CASE WHEN {_c} IS NOT NULL THEN round(5.88::DOUBLE * {_letters} / {_n} - 29.6::DOUBLE * {_st} / {_n}"
+        f"CASE WHEN {_c} IS NOT NULL THEN round(5.88::DOUBLE * ({_letters}::DOUBLE / {_n}) - 29.6::DOUBLE * ({_st}::DOUBLE / {_n})"
         f" - 15.8, 6) END AS readability_CL{_i}",
-        f"CASE WHEN {_c} IS NOT NULL THEN round(1.0364::DOUBLE * length({_c}) / {_nb} + 0.0194::DOUBLE"
-        f" * length({_c}) / {_st} - 0.6059, 6) END AS readability_DB1_{_i}",
-        f"CASE WHEN {_c} IS NOT NULL THEN round(131.059 - 10.364::DOUBLE * length({_c}) / {_nb}"
-        f" - 0.0194::DOUBLE * length({_c}) / {_st}, 6) END AS readability_DB{_i}",
+        f"CASE WHEN {_c} IS NOT NULL THEN round(1.0364::DOUBLE * (length({_c})::DOUBLE / {_nb}) + 0.0194::DOUBLE"
+        f" * (length({_c})::DOUBLE / {_st}) - 0.6059, 6) END AS readability_DB1_{_i}",
+        f"CASE WHEN {_c} IS NOT NULL THEN round(131.059 - 10.364::DOUBLE * (length({_c})::DOUBLE / {_nb})"
+        f" - 0.0194::DOUBLE * (length({_c})::DOUBLE / {_st}), 6) END AS readability_DB{_i}",
     ]
 ORACLE["readability_by_answer"] = (
     f"WITH {ANSWERS_CTE} SELECT respondent_id, {', '.join(_by_answer)} FROM answers"
@@ -296,7 +299,8 @@ ORACLE["liwc_profile"] = f"WITH {_BASE} SELECT doc_id, {_profile_sql} FROM sized
 _LEX = f"lex AS (SELECT * FROM {values(wl.DICTIONARIES, ['dict', 'category', 'pattern', 'weight'])})"
 _MATCH = """hits AS (
   SELECT DISTINCT v.term, l.dict, l.category FROM (SELECT DISTINCT term FROM cells) v JOIN lex l
-  ON v.term = l.pattern OR (l.pattern LIKE '%*' AND starts_with(v.term, rtrim(l.pattern, '*'))))"""
+  ON v.term = l.pattern OR (l.pattern LIKE '%*' AND starts_with(v.term, rtrim(l.pattern, '*'))
+    AND NOT contains(substr(v.term, length(l.pattern)), '_')))"""
 _cats = list(dict.fromkeys((d, c) for d, c, _, _ in wl.DICTIONARIES))
 _MAX = max(p.count("_") + 1 for _, _, p, _ in wl.DICTIONARIES)
 _first = _cats[0][0]
@@ -497,7 +501,8 @@ ORACLE["readability_quality"] = f"""
 WITH {COUNTS}, x AS (SELECT lang, W, St, {FORMULAS['Flesch_Kincaid']} AS grade, quality::DOUBLE AS quality
   FROM f JOIN documents USING (doc_id) JOIN labels USING (doc_id))
 SELECT lang, count(*) AS n, round(avg(W), 4) AS avg_words, round(avg(St), 4) AS avg_sentences,
-  round(avg(grade), 4) AS avg_grade, round(corr(grade, quality), 4) + 0.0 AS r_quality FROM x GROUP BY lang"""
+  round(avg(grade), 4) AS avg_grade, CASE WHEN stddev_pop(grade) > 0 AND stddev_pop(quality) > 0
+  THEN round(corr(grade, quality), 4) + 0.0 END AS r_quality FROM x GROUP BY lang"""
 ORACLE["lexicon_wildcard"] = f"""
 WITH {_LEX}, {CELLS}, {_MATCH}
 SELECT dict, category, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS doc_count
