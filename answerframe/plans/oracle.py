@@ -507,3 +507,36 @@ ORACLE["lexicon_wildcard"] = f"""
 WITH {_LEX}, {CELLS}, {_MATCH}
 SELECT dict, category, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS doc_count
 FROM cells JOIN hits USING (term) GROUP BY dict, category, term"""
+
+
+# Ridge with two features in closed form. Fold sums are taken about the overall
+# means; training sums are the total minus the fold.
+ALPHAS = [0.0, 0.05, 0.1, 0.3, 0.5, 0.8, 0.9, 0.95, 1.0, 1.2, 1.8, 10.0, 100.0, 10000.0, 1000000.0]
+_sums = ["a", "b", "y", "a*a", "a*b", "b*b", "a*y", "b*y", "y*y"]
+_names = ["sa", "sb", "sy", "saa", "sab", "sbb", "say", "sby", "syy"]
+ORACLE["ridge_grid"] = f"""
+WITH folded AS (SELECT *, ntile(10) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fold
+  FROM lineitem),
+long AS (SELECT fold, 'l_extendedprice' AS target, l_quantity AS a, l_discount AS b, l_extendedprice AS y FROM folded
+  UNION ALL SELECT fold, 'l_tax', l_quantity, l_discount, l_tax FROM folded),
+mid AS (SELECT target, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM long GROUP BY target),
+z AS (SELECT fold, target, a - ma AS a, b - mb AS b, y - my AS y FROM long JOIN mid USING (target)),
+f AS (SELECT target, fold, count(*)::DOUBLE AS n, {', '.join(f'sum({e}) AS {n}' for e, n in zip(_sums, _names, strict=True))}
+  FROM z GROUP BY target, fold),
+t AS (SELECT *, {', '.join(f'sum({n}) OVER (PARTITION BY target) - {n} AS t{n}' for n in ['n', *_names])} FROM f),
+c AS (SELECT *, tsaa - tsa * tsa / tn AS caa, tsab - tsa * tsb / tn AS cab, tsbb - tsb * tsb / tn AS cbb,
+  tsay - tsa * tsy / tn AS cay, tsby - tsb * tsy / tn AS cby FROM t),
+g AS (SELECT * FROM c CROSS JOIN {values([(a,) for a in ALPHAS], ['alpha'])}),
+w AS (SELECT *, ((cbb + alpha) * cay - cab * cby) / ((caa + alpha) * (cbb + alpha) - cab * cab) AS wa,
+  ((caa + alpha) * cby - cab * cay) / ((caa + alpha) * (cbb + alpha) - cab * cab) AS wb FROM g),
+d AS (SELECT *, (tsy - wa * tsa - wb * tsb) / tn AS shift FROM w),
+e AS (SELECT target, alpha, n, syy - sy * sy / n AS sst,
+  syy - 2 * (wa * say + wb * sby) + wa * wa * saa + 2 * wa * wb * sab + wb * wb * sbb
+  - 2 * shift * (sy - wa * sa - wb * sb) + n * shift * shift AS sse FROM d)
+SELECT alpha, target, round(sum(n * (1 - sse / sst)) / sum(n), 7) AS cv_r2,
+  round(ln(sum(sse) / sum(n)), 7) AS cv_log_mse FROM e GROUP BY alpha, target"""
+ORACLE["holdout_metrics"] = """
+WITH x AS (SELECT l_returnflag AS target, l_extendedprice AS y, l_quantity * 1500 AS pred FROM lineitem)
+SELECT target, count(*) AS n, round(corr(pred, y), 6) AS r,
+  round(1 - avg((y - pred) * (y - pred)) / var_pop(y), 6) AS r2, round(avg((y - pred) * (y - pred)), 0) AS mse
+FROM x GROUP BY target"""
