@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import RowBlock, select_blocks
 from .text import ratio
 from .tokens import (
     bind,
@@ -279,33 +280,43 @@ COUNTS = {
 }
 
 
-def readability(
-    df: DataFrame,
-    id_col: str,
+def readability_block(
     text_col: str,
     easy_words: Sequence[str],
     measures: dict | None = None,
     counts: bool = False,
-) -> DataFrame:
-    """One row per text with the chosen measures (default: the twelve corpus ones)."""
+) -> RowBlock:
     chosen = CORPUS_MEASURES if measures is None else measures
-    counted = df.select(id_col, text_counts(text_col, easy_words).alias("m"))
-    m = F.col("m")
-    raw = [F.col(f"m.{field}").alias(name) for name, field in COUNTS.items()] if counts else []
-    return counted.select(id_col, *raw, *[fn(m).alias(name) for name, fn in chosen.items()])
+    m = F.col("_counts")
+    raw = [F.col(f"_counts.{field}").alias(name) for name, field in COUNTS.items()]
+    named = [fn(m).alias(name) for name, fn in chosen.items()]
+    return RowBlock({"_counts": text_counts(text_col, easy_words)}, (raw if counts else []) + named)
 
 
-def answer_readability(df: DataFrame, id_col: str, answers: Sequence[str]) -> DataFrame:
+def answer_block(answers: Sequence[str]) -> RowBlock:
     """Coleman-Liau and both Danielson-Bryan forms for every answer column."""
-    counted = df.select(
-        id_col, *[basic_counts(c).alias(f"m{i}") for i, c in enumerate(answers, 1)]
-    )
     cols = []
     for i in range(1, len(answers) + 1):
-        m = F.col(f"m{i}")
+        m = F.col(f"_basic{i}")
         cols += [
             coleman_liau_short(m).alias(f"readability_CL{i}"),
             danielson_bryan_1(m).alias(f"readability_DB1_{i}"),
             danielson_bryan_2(m).alias(f"readability_DB{i}"),
         ]
-    return counted.select(id_col, *cols)
+    return RowBlock({f"_basic{i}": basic_counts(c) for i, c in enumerate(answers, 1)}, cols)
+
+
+def readability(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    easy_words: Sequence[str],
+    measures: dict | None = None,
+    counts: bool = False,
+) -> DataFrame:
+    """One row per text with the chosen measures (default: the twelve corpus ones)."""
+    return select_blocks(df, [id_col], readability_block(text_col, easy_words, measures, counts))
+
+
+def answer_readability(df: DataFrame, id_col: str, answers: Sequence[str]) -> DataFrame:
+    return select_blocks(df, [id_col], answer_block(answers))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import RowBlock, select_blocks
+from ..functions.text import ratio
 from ..functions.tokens import bind, corpus_tokens, count_runs, ngrams, words
 from .terms import near_zero_variance, term_counts, tfidf_log10
 
@@ -71,25 +73,24 @@ def weighted_diversity(
     return totals.select(id_col, *_indices(F.col("V"), F.col("N"), F.col("pairs")))
 
 
-def answer_ratios(df: DataFrame, id_col: str, answers: Sequence[str]) -> DataFrame:
+def ratio_block(answers: Sequence[str]) -> RowBlock:
     """Characters per word of every answer, and over the non-null answers together."""
-    counted = df.select(
-        id_col,
-        *[F.length(c).alias(f"c{i}") for i, c in enumerate(answers, 1)],
-        *[F.when(F.col(c).isNotNull(), F.size(words(c))).alias(f"w{i}") for i, c in enumerate(answers, 1)],
-    )
     span = range(1, len(answers) + 1)
+    prepared = {f"_chars{i}": F.length(c) for i, c in enumerate(answers, 1)}
+    prepared |= {
+        f"_words{i}": F.when(F.col(c).isNotNull(), F.size(words(c)))
+        for i, c in enumerate(answers, 1)
+    }
 
     def total(prefix: str) -> Column:
-        return sum((F.coalesce(f"{prefix}{i}", F.lit(0)) for i in span), F.lit(0)).cast("double")
+        return sum((F.coalesce(f"{prefix}{i}", F.lit(0)) for i in span), F.lit(0))
 
-    return counted.select(
-        id_col,
-        *[
-            F.try_divide(F.col(f"c{i}").cast("double"), F.col(f"w{i}").cast("double")).alias(
-                f"char_per_word{i}"
-            )
-            for i in span
-        ],
-        F.try_divide(total("c"), total("w")).alias("char_per_word_all_text"),
-    )
+    columns = [
+        ratio(F.col(f"_chars{i}"), F.col(f"_words{i}")).alias(f"char_per_word{i}") for i in span
+    ]
+    columns.append(ratio(total("_chars"), total("_words")).alias("char_per_word_all_text"))
+    return RowBlock(prepared, columns)
+
+
+def answer_ratios(df: DataFrame, id_col: str, answers: Sequence[str]) -> DataFrame:
+    return select_blocks(df, [id_col], ratio_block(answers))

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import RowBlock, select_blocks
 from ..functions.stem import stem_column
 from ..functions.text import count_of, ratio
 from ..functions.tokens import bind, count_runs, ngrams, sentence_count, without, words
@@ -141,24 +142,33 @@ def profile_counts(text: Column) -> Column:
     return F.when(text.isNotNull(), bind(words(text), measure))
 
 
-def profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The lexicon-free part of the profile: counts per 100 words. Map-only."""
-    counted = df.select(id_col, profile_counts(F.col(text_col)).alias("p"))
-    p = F.col("p")
+def profile_block(text_col: str) -> RowBlock:
+    """The lexicon-free part of the profile: counts per 100 words."""
+    p = F.col("_profile")
     listed = sum((p[name] for name in MARKS), F.lit(0))
 
     def percent(count: Column) -> Column:
         return ratio(100 * count, p["WC"])
 
-    return counted.select(
-        id_col,
+    columns = [
         p["WC"].alias("WC"),
         F.when(p["WC"] > 0, ratio(p["WC"], p["St"])).alias("WPS"),
         percent(p["Sixltr"]).alias("Sixltr"),
         percent(p["AllPunc"]).alias("AllPunc"),
         *[percent(p[name]).alias(name) for name in MARKS],
         percent(p["AllPunc"] - listed).alias("OtherP"),
-    )
+    ]
+    return RowBlock({"_profile": profile_counts(F.col(text_col))}, columns)
+
+
+def profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return select_blocks(df, [id_col], profile_block(text_col))
+
+
+def with_any_category(lexicon: DataFrame, name: str) -> DataFrame:
+    """Add a category that holds every pattern of one dictionary."""
+    every = lexicon.where(F.col("dict") == name).withColumn("category", F.lit(ANY))
+    return lexicon.unionByName(every)
 
 
 def dictionary_profile(
@@ -175,10 +185,9 @@ def dictionary_profile(
     more category that holds all of its patterns.
     """
     first = categories[0][0]
-    anywhere = lexicon.where(F.col("dict") == first).withColumn("category", F.lit(ANY))
     wanted = [*categories, (first, ANY)]
     hits = category_counts(
-        df, id_col, text_col, lexicon.unionByName(anywhere), wanted, max_words
+        df, id_col, text_col, with_any_category(lexicon, first), wanted, max_words
     )
     joined = profile(df, id_col, text_col).join(hits, id_col)
     percents = [

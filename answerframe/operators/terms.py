@@ -157,19 +157,21 @@ def near_zero_variance(
     )
 
 
-def number_terms(vocab: DataFrame, buckets: int = 1024) -> DataFrame:
+def number_terms(
+    vocab: DataFrame, by: Sequence[str] = (), buckets: int = 1024
+) -> DataFrame:
     """Give every distinct term a dense index ``0..V-1`` without a global sort.
 
     Terms fall into hash buckets; a bucket's start is the running total of the
     bucket sizes (at most ``buckets`` rows), and terms are numbered inside it.
     """
-    hashed = vocab.withColumn("_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    hashed = vocab.withColumn("_bucket", F.pmod(F.xxhash64(*by, "term"), F.lit(buckets)))
     sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("_bucket").orderBy("term")
+    inside = Window.partitionBy("_bucket").orderBy(*by, "term")
     return (
         hashed.join(F.broadcast(starts), "_bucket")
         .withColumn("term_index", F.col("_start") + F.row_number().over(inside) - 1)
@@ -177,14 +179,20 @@ def number_terms(vocab: DataFrame, buckets: int = 1024) -> DataFrame:
     )
 
 
-def sparse_rows(cells: DataFrame, vocab: DataFrame, id_col: str, value_col: str = "n") -> DataFrame:
+def sparse_rows(
+    cells: DataFrame,
+    vocab: DataFrame,
+    id_col: str,
+    value_col: str = "n",
+    by: Sequence[str] = (),
+) -> DataFrame:
     """One sparse vector per text, as ``(id, indices, values)`` arrays in index order.
 
     ``vocab`` carries ``term``, ``term_index`` and ``doc_count``. A text's cells
     are all one row holds, so the collected lists are as long as its vocabulary.
     """
     placed = join_vocabulary(
-        cells, vocab.select("term", "term_index", "doc_count"), "doc_count", ["term"]
+        cells, vocab.select(*by, "term", "term_index", "doc_count"), "doc_count", [*by, "term"]
     )
     pairs = F.array_sort(
         F.collect_list(F.struct("term_index", F.col(value_col).cast("double").alias("value")))
@@ -200,6 +208,17 @@ def sparse_rows(cells: DataFrame, vocab: DataFrame, id_col: str, value_col: str
     )
 
 
+def lemmatise(cells: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Replace terms by their lemma from a ``(term, lemma)`` table; others stay as they are."""
+    found = lookup(cells, lemmas.select("term", "lemma"), "term", "left")
+    keys = [c for c in cells.columns if c not in ("term", "n")]
+    return (
+        found.withColumn("term", F.coalesce("lemma", "term"))
+        .groupBy(*keys, "term")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
 def wide_counts(
     df: DataFrame, id_col: str, tokens: Column, terms: Sequence[str], prefix: str = ""
 ) -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators.metrics import feature_target_corr as correlate
 from ..operators.metrics import safe_corr
 from ..sources.tables import submission
 from . import wordlists as wl
+from .features import Lists, build_features, document_terms
 from .stand_ins import answers, documents, labelled_split, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -396,6 +397,49 @@ def kfold_contiguous(spark, sf):
     return sp.contiguous_folds(read(spark, sf, "documents").select("doc_id"), ["doc_id"], 7)
 
 
+def sample_lists(spark) -> Lists:
+    polarity, shifters = valence(spark)
+    return Lists(
+        dictionaries=dictionaries(spark),
+        categories=CATEGORIES,
+        emotions=wl.table(spark, wl.EMOTIONS, ["word", "category"]),
+        emotion_categories=wl.EMOTION_CATEGORIES,
+        ratio_lexicon=ratio_lexicon(spark),
+        polarity=polarity,
+        shifters=shifters,
+        spelling=wl.table(spark, wl.SPELLING, ["word"]),
+        profanity=wl.table(spark, wl.PROFANITY, ["word"]),
+        easy_words=wl.EASY_WORDS,
+        stopwords=wl.STOPWORDS,
+        max_words=MAX_WORDS,
+    )
+
+
+@query
+def assemble_features(spark, sf):
+    """The wide table: all families of all respondents, joined by key."""
+    df = answers(spark, sf)
+    return rounded(build_features(df, "respondent_id", sample_lists(spark)), nudge=1e-9)
+
+
+@query
+def dtm_by_field(spark, sf):
+    """Sparse counts of all six texts, each field with its own pruned vocabulary."""
+    df = answers(spark, sf).withColumn("all_text", tx.concat_skip_null(*ANSWERS))
+    rows, _ = document_terms(df, "respondent_id", [*ANSWERS, "all_text"])
+    return rows.select(
+        "respondent_id",
+        F.size("dtm_indices").alias("nnz"),
+        F.aggregate("dtm_values", F.lit(0.0), lambda a, x: a + x).alias("total"),
+    )
+
+
+@query
+def lemma_counts(spark, sf):
+    cells = tm.word_counts(documents(spark, sf), "doc_id", "text")
+    return tm.lemmatise(cells, wl.table(spark, wl.LEMMAS, ["term", "lemma"]))
+
+
 @query
 def feature_target_corr(spark, sf):
     """Pearson r of every readability measure with every target, one pass."""

@@ -540,3 +540,57 @@ WITH x AS (SELECT l_returnflag AS target, l_extendedprice AS y, l_quantity * 150
 SELECT target, count(*) AS n, round(corr(pred, y), 6) AS r,
   round(1 - avg((y - pred) * (y - pred)) / var_pop(y), 6) AS r2, round(avg((y - pred) * (y - pred)), 0) AS mse
 FROM x GROUP BY target"""
+
+ORACLE["lemma_counts"] = f"""
+WITH {CELLS}, l AS (SELECT * FROM {values(wl.LEMMAS, ['term', 'lemma'])})
+SELECT doc_id, coalesce(lemma, c.term) AS term, CAST(sum(n) AS BIGINT) AS n
+FROM cells c LEFT JOIN l ON c.term = l.term GROUP BY doc_id, coalesce(lemma, c.term)"""
+_SIX = _ANSWER_TEXTS[:-1] + " UNION ALL SELECT respondent_id, 'all_text' AS field, " + (
+    f"concat_ws(' ', {', '.join(ANSWERS)}) AS text FROM answers)"
+)
+ORACLE["dtm_by_field"] = f"""
+WITH {ANSWERS_CTE}, {_SIX},
+cells AS (SELECT respondent_id, field, term, count(*) AS n FROM
+  (SELECT respondent_id, field, unnest({words('text')}) AS term FROM texts) AS t GROUP BY ALL),
+vocab AS (SELECT field, term FROM cells GROUP BY field, term
+  HAVING sum(n) >= 25 AND count(*)::DOUBLE / (SELECT count(*) FROM answers) <= 0.9)
+SELECT respondent_id, CAST(count(*) AS INTEGER) AS nnz, sum(n)::DOUBLE AS total
+FROM cells JOIN vocab USING (field, term) GROUP BY respondent_id"""
+
+# The wide table joins the single-family results. The concatenated text takes the
+# place of the documents inside the families that read those.
+_names = {}
+for _d, _k in _cats:
+    _name, _i = f"dict_{_k}", 0
+    while _name in _names.values():
+        _i += 1
+        _name = f"dict_{_k}_{_i}"
+    _names[_d, _k] = _name
+_dict_out = ", ".join(f"d.{a}_{b} AS {name}" for (a, b), name in _names.items())
+_profile_names = ["WC", "WPS", "Sixltr", "Dic", "AllPunc", *_marks, "OtherP"]
+_profile_out = ", ".join(f'd."{c}" AS "dict_{c}"' for c in _profile_names)
+_six_fields = [(c, f"q{i}_") for i, c in enumerate(ANSWERS, 1)] + [("all_text", "all_")]
+_six_sents = [(c, f"sent{i}") for i, c in enumerate(ANSWERS, 1)] + [("all_text", "sent_all_text")]
+
+
+def _all_but(table: str, key: str) -> str:
+    return f"{table}.* EXCLUDE ({key})"
+
+
+ORACLE["assemble_features"] = f"""
+WITH {ANSWERS_CTE},
+documents AS (SELECT respondent_id AS doc_id, concat_ws(' ', {', '.join(ANSWERS)}) AS text FROM answers),
+r AS ({ORACLE['readability_corpus']}), ra AS ({ORACLE['readability_by_answer']}),
+cw AS ({ORACLE['char_per_word']}), d AS ({ORACLE['dictionary_profile']}),
+em AS ({ORACLE['emotion_counts']}), er AS ({ORACLE['spelling_errors']}), pr AS ({ORACLE['profanity_count']}),
+sr AS (WITH {ratio_sql(_SIX, 'respondent_id', _six_fields, True)}),
+ss AS (WITH {shifter_sql(_SIX, 'respondent_id', _six_sents)}), ld AS ({ORACLE['lexdiv_weighted']})
+SELECT a.*, documents.text AS all_text, {_all_but('r', 'doc_id')}, {_all_but('ra', 'respondent_id')},
+  {_all_but('cw', 'respondent_id')}, {_profile_out}, {_dict_out}, {_all_but('em', 'doc_id')},
+  CAST(er.errors AS BIGINT) AS errors, pr.profanity, {_all_but('sr', 'respondent_id')},
+  {_all_but('ss', 'respondent_id')}, {_all_but('ld', 'respondent_id')}
+FROM answers a JOIN documents ON documents.doc_id = a.respondent_id JOIN r ON r.doc_id = a.respondent_id
+JOIN ra USING (respondent_id) JOIN cw USING (respondent_id) JOIN d ON d.doc_id = a.respondent_id
+JOIN em ON em.doc_id = a.respondent_id JOIN er ON er.doc_id = a.respondent_id
+JOIN pr ON pr.doc_id = a.respondent_id JOIN sr USING (respondent_id) JOIN ss USING (respondent_id)
+JOIN ld USING (respondent_id)"""

@@ -95,6 +95,9 @@ trash idiot stupid loser clown scum moron worthless pathetic disgusting est que
 dans sur avec qui der die das und nicht ein eine ist von mit den dem auf el la los las una por con
 """.split()
 
+# Ours, invented: (term, lemma).
+LEMMAS = [("things", "thing"), ("thing", "thin"), ("was", "be"), ("are", "be"), ("is", "be"), ("heated", "heat")]
+
 # Ours, invented: named terms of the wide document-term form.
 WIDE_TERMS = ["the", "of", "and", "ing", "tion", "rest", "heat", "de", "la", "der", "und", "los"]
 
