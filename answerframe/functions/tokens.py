@@ -59,6 +59,17 @@ def corpus_tokens(
     return F.filter(tokens, lambda t: ~t.rlike("|".join(drop)))
 
 
+def sql_list(items) -> str:
+    """Quoted SQL list. One expression string is far cheaper to build than many literals."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in items)
+
+
+def words_without(column: str, listed: list[str]) -> Column:
+    """The words of a text column, listed ones dropped; order and repeats stay."""
+    found = f'regexp_extract_all(lower(`{column}`), r"{WORD}", 0)'
+    return F.expr(f"filter({found}, t -> t NOT IN ({sql_list(listed)}))")
+
+
 def without(tokens: Column, listed: list[str]) -> Column:
     """Drop listed words, keep order and repeats."""
     return F.filter(tokens, lambda t: ~t.isin(listed))
@@ -88,6 +99,27 @@ def ngrams(tokens: Column, n_min: int = 1, n_max: int = 5, sep: str = "_") -> Co
     return bind(tokens, lambda w: grow(w, w, 2, [w] if n_min <= 1 else []))
 
 
+def ngrams_starting(tokens: Column, firsts: list[str], n_max: int, sep: str = "_") -> Column:
+    """The 2- to ``n_max``-grams that start with one of ``firsts``; no others are built."""
+
+    def build(w: Column, starts: Column) -> Column:
+        def of_order(n: int) -> Column:
+            inside = F.filter(starts, lambda i: i <= F.size(w) - (n - 1))
+            return F.transform(inside, lambda i: F.array_join(F.slice(w, i, n), sep))
+
+        return F.concat(*[of_order(n) for n in range(2, n_max + 1)])
+
+    def at_starts(w: Column) -> Column:
+        places = F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1))
+        hits = F.filter(
+            F.coalesce(places, F.array().cast("array<int>")),
+            lambda i: F.get(w, i - 1).isin(firsts),
+        )
+        return bind(hits, lambda starts: build(w, starts))
+
+    return bind(tokens, at_starts)
+
+
 def count_runs(values: Column) -> Column:
     """Distinct values of an array with their counts: ``array<struct<term, n>>``.
 

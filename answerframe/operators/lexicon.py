@@ -16,10 +16,20 @@ from pyspark.sql import functions as F
 from ..functions.rows import RowBlock, select_blocks
 from ..functions.stem import stem_column
 from ..functions.text import count_of, ratio
-from ..functions.tokens import bind, count_runs, ngrams, sentence_count, without, words
+from ..functions.tokens import (
+    bind,
+    count_runs,
+    ngrams,
+    ngrams_starting,
+    sentence_count,
+    sql_list,
+    words,
+    words_without,
+)
 from .joins import lookup
 
 ANY = "(any)"
+MAX_FIRST_WORDS = 5_000
 
 # Punctuation columns of the profile and the characters they count.
 MARKS = {
@@ -94,6 +104,23 @@ def match_patterns(
     )
 
 
+def lexicon_terms(text_col: str, lexicon: DataFrame, max_words: int) -> Column:
+    """The words of a text and, for multi-word patterns, the n-grams that can match.
+
+    Only n-grams that start like some pattern are built. With very many
+    multi-word patterns all are, which gives the same matches.
+    """
+    single = words(text_col)
+    if max_words == 1:
+        return single
+    several = lexicon.where(F.contains("pattern", F.lit("_")))
+    starts = several.select(F.substring_index("pattern", "_", 1).alias("w")).distinct()
+    found = [r["w"] for r in starts.limit(MAX_FIRST_WORDS + 1).collect()]
+    if len(found) > MAX_FIRST_WORDS:
+        return ngrams(single, 1, max_words)
+    return F.concat(single, ngrams_starting(single, found, max_words))
+
+
 def category_counts(
     df: DataFrame,
     id_col: str,
@@ -109,16 +136,16 @@ def category_counts(
     term along, which meets an empty pattern and so carries the text through the
     inner join, where all other unmatched terms stop.
     """
-    tokens = words(text_col) if max_words == 1 else ngrams(words(text_col), 1, max_words)
     anchor = F.array(F.struct(F.lit("").alias("term"), F.lit(0).cast("long").alias("n")))
+    tokens = lexicon_terms(text_col, lexicon, max_words)
     counts = F.when(F.col(text_col).isNotNull(), count_runs(tokens))
     cells = df.select(id_col, F.inline(F.concat(anchor, F.coalesce(counts, anchor))))
     empty = lexicon.sparkSession.sql("SELECT '' AS dict, '' AS category, '' AS pattern")
     matched = match_patterns(cells, lexicon, [id_col], empty)
     sums = [
-        F.sum(F.when((F.col("dict") == d) & (F.col("category") == c), F.col("n")).otherwise(0)).alias(
-            name(d, c)
-        )
+        F.expr(
+            f"sum(CASE WHEN dict = {sql_list([d])} AND category = {sql_list([c])} THEN n ELSE 0 END)"
+        ).alias(name(d, c))
         for d, c in categories
     ]
     return matched.groupBy(id_col).agg(*sums)
@@ -272,7 +299,7 @@ def sentiment_ratios(
     table = flag_table(entries, flags)
 
     def counts(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), count_runs(without(words(c), list(stopwords))))
+        return F.when(F.col(c).isNotNull(), count_runs(words_without(c, list(stopwords))))
 
     fields = F.array(
         *[
@@ -286,24 +313,23 @@ def sentiment_ratios(
             id_col, "field", F.col("_stem").alias("term"), "n"
         )
     found = lookup(cells, table, "term", "left")
-    sums = []
-    for i in range(len(text_cols)):
-        here = F.col("field") == i
-        sums.append(F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"w{i}"))
-        for d, c in flags:
-            hit = F.when(here & (F.col(f"{d}_{c}") == 1), F.col("n"))
-            sums.append(F.coalesce(F.sum(hit), F.lit(0)).alias(f"{d}_{c}_{i}"))
-    totals = found.groupBy(id_col).agg(*sums)
-    out = []
+    sums, out = [], []
     for i, prefix in enumerate(prefixes):
-        total = F.col(f"w{i}")
-        out.append(total.alias(f"{prefix}WordCount"))
+        sums.append(f"coalesce(sum(CASE WHEN field = {i} THEN n END), 0) AS w{i}")
+        for d, c in flags:
+            hit = f"CASE WHEN field = {i} AND {d}_{c} = 1 THEN n END"
+            sums.append(f"coalesce(sum({hit}), 0) AS {d}_{c}_{i}")
+
+        def share(count: str, name: str, i=i, prefix=prefix) -> str:
+            return f"try_divide(CAST({count} AS DOUBLE), CAST(w{i} AS DOUBLE)) AS `{prefix}{name}`"
+
+        out.append(f"w{i} AS `{prefix}WordCount`")
         for d in RATIO_LISTS:
-            pos, neg = F.col(f"{d}_positive_{i}"), F.col(f"{d}_negative_{i}")
-            out.append(ratio(pos - neg, total).alias(f"{prefix}Sentiment{d}"))
-            out.append(ratio(neg, total).alias(f"{prefix}Negativity{d}"))
-            out.append(ratio(pos, total).alias(f"{prefix}Positivity{d}"))
+            pos, neg = f"{d}_positive_{i}", f"{d}_negative_{i}"
+            out.append(share(f"{pos} - {neg}", f"Sentiment{d}"))
+            out.append(share(neg, f"Negativity{d}"))
+            out.append(share(pos, f"Positivity{d}"))
             if d == "LM":
-                unsure = F.col(f"LM_uncertainty_{i}")
-                out.append(ratio(unsure, total).alias(f"{prefix}RatioUncertaintyLM"))
-    return totals.select(id_col, *out)
+                out.append(share(f"LM_uncertainty_{i}", "RatioUncertaintyLM"))
+    totals = found.groupBy(id_col).agg(*[F.expr(e) for e in sums])
+    return totals.selectExpr(f"`{id_col}`", *out)

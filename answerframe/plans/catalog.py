@@ -37,11 +37,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
-    """Round double columns so both engines print the same digits."""
-    return df.select(
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 1e-9) -> DataFrame:
+    """Round double columns so both engines print the same digits.
+
+    The nudge settles exact decimal ties the same way in both.
+    """
+    return df.selectExpr(
         *[
-            (F.round(F.col(c) + nudge, digits) + 0.0).alias(c) if kind == "double" else F.col(c)
+            f"round(`{c}` + {nudge!r}D, {digits}) + 0.0D AS `{c}`" if kind == "double" else f"`{c}`"
             for c, kind in df.dtypes
         ]
     )
@@ -184,7 +187,7 @@ def top_terms(spark, sf):
     cells = tm.term_counts(docs, ["doc_id"], ngrams(terms2("text"), 1, 2, " "))
     weights = tm.tfidf_smooth_l2(cells, docs, "doc_id")
     # ties are decided on the printed digits, so both engines agree
-    weights = weights.withColumn("tfidf", F.round("tfidf", 6))
+    weights = weights.withColumn("tfidf", F.round(F.col("tfidf") + 1e-9, 6))
     return tm.top_terms(weights, "doc_id", "tfidf", 10).select("doc_id", "term", "n", "tfidf", "rank")
 
 
@@ -204,7 +207,7 @@ def readability_counts(spark, sf):
 @query
 def readability_corpus(spark, sf):
     return rounded(
-        rd.readability(documents(spark, sf), "doc_id", "text", wl.EASY_WORDS), nudge=1e-9
+        rd.readability(documents(spark, sf), "doc_id", "text", wl.EASY_WORDS)
     )
 
 
@@ -212,7 +215,6 @@ def readability_corpus(spark, sf):
 def readability_scores(spark, sf):
     return rounded(
         rd.readability(documents(spark, sf), "doc_id", "text", wl.EASY_WORDS, rd.SCORE_MEASURES),
-        nudge=1e-9,
     )
 
 
@@ -419,7 +421,7 @@ def sample_lists(spark) -> Lists:
 def assemble_features(spark, sf):
     """The wide table: all families of all respondents, joined by key."""
     df = answers(spark, sf)
-    return rounded(build_features(df, "respondent_id", sample_lists(spark)), nudge=1e-9)
+    return rounded(build_features(df, "respondent_id", sample_lists(spark)))
 
 
 @query

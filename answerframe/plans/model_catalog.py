@@ -15,10 +15,8 @@ from ..operators.tuning import Forest, GridSearch, Linear, TextGridSearch
 from . import wordlists as wl
 from .catalog import query, rounded
 from .stand_ins import documents, labelled_split, read
+from .tuning_run import ALPHAS, L1_RATIOS
 
-# The published grids of the linear models.
-ALPHAS = [0.0, 0.05, 0.1, 0.3, 0.5, 0.8, 0.9, 0.95, 1.0, 1.2, 1.8, 10.0, 100.0, 10000.0, 1000000.0]
-L1_RATIOS = [0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0]
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_FEATURES = ["l_quantity", "l_discount"]
 LINE_TARGETS = ["l_extendedprice", "l_tax"]
@@ -68,6 +66,18 @@ def elastic_grid(spark, sf):
     return rounded(grid_means(scores, grid, ["alpha", "l1_ratio"]))
 
 
+@query
+def elastic_one_feature(spark, sf):
+    """The whole elastic grid on one feature, where the solution is a soft threshold."""
+    df = line_folds(spark, sf)
+    grid = expand({"alpha": ALPHAS, "l1_ratio": L1_RATIOS})
+    scores = cv_scores(df, moments(df, ["l_quantity"], ["l_extendedprice"]), grid)
+    means = grid_means(scores, grid, ["alpha", "l1_ratio"])
+    return means.select(
+        "alpha", "l1_ratio", "target", F.round("cv_r2", 7).alias("cv_r2"), relative("cv_neg_mse")
+    )
+
+
 @query
 def holdout_metrics(spark, sf):
     """n, r, R² and MSE of a price guess per return flag."""

@@ -6,6 +6,7 @@ from ..functions import readability as rd
 from ..functions import stem as st
 from ..functions.text import ANSWERS
 from . import wordlists as wl
+from .tuning_run import ALPHAS, L1_RATIOS
 from .stand_ins import DEV_SOURCES, TEST_SOURCES
 
 ORACLE: dict[str, str] = {}
@@ -75,18 +76,18 @@ SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, array_to_string(w, ' ') AS t
 ORACLE["token_counts"] = f"""
 WITH {TOKENS}
 SELECT d.doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST(len(w) AS INTEGER) AS n_tokens,
-  round(length(text)::DOUBLE / nullif(len(w), 0), 6) AS char_per_word
+  round(length(text)::DOUBLE / nullif(len(w), 0) + 1e-9, 6) AS char_per_word
 FROM documents d JOIN tok USING (doc_id)"""
 
 _cpw = [
-    f"round(length({c})::DOUBLE / nullif(len({words(c)}), 0), 6) AS char_per_word{i}"
+    f"round(length({c})::DOUBLE / nullif(len({words(c)}), 0) + 1e-9, 6) AS char_per_word{i}"
     for i, c in enumerate(ANSWERS, 1)
 ]
 _chars = " + ".join(f"coalesce(length({c}), 0)" for c in ANSWERS)
 _words = " + ".join(f"coalesce(len({words(c)}), 0)" for c in ANSWERS)
 ORACLE["char_per_word"] = f"""
 WITH {ANSWERS_CTE} SELECT respondent_id, {', '.join(_cpw)},
-  round(({_chars})::DOUBLE / nullif({_words}, 0), 6) AS char_per_word_all_text FROM answers"""
+  round(({_chars})::DOUBLE / nullif({_words}, 0) + 1e-9, 6) AS char_per_word_all_text FROM answers"""
 ORACLE["word_counts"] = f"WITH {CELLS} SELECT doc_id, term, n FROM cells"
 ORACLE["ngram_counts_1_5"] = f"""
 WITH {TOKENS}, {ngrams('tok', 'doc_id', 5)}, {GRAM_CELLS}
@@ -100,7 +101,7 @@ _PRUNED = """pruned AS (SELECT *, doc_count::DOUBLE / (SELECT count(*) FROM docu
   FROM vocab WHERE term_count >= 25 AND doc_count::DOUBLE / (SELECT count(*) FROM documents) <= 0.9)"""
 ORACLE["vocab_prune"] = f"""
 WITH {CELLS}, {VOCAB}, {_PRUNED}
-SELECT term, term_count, doc_count, round(doc_share, 6) AS doc_share FROM pruned"""
+SELECT term, term_count, doc_count, round(doc_share + 1e-9, 6) AS doc_share FROM pruned"""
 ORACLE["stopword_filter"] = (
     f"WITH {CELLS} SELECT doc_id, term, n FROM cells WHERE term NOT IN {word_list(wl.STOPWORDS)}"
 )
@@ -119,13 +120,13 @@ ORACLE["dtm_wide"] = f"""
 WITH {CELLS} SELECT d.doc_id, {_wide} FROM documents d LEFT JOIN cells c USING (doc_id) GROUP BY d.doc_id"""
 ORACLE["tfidf_log10"] = f"""
 WITH {CELLS}, {VOCAB}
-SELECT doc_id, term, n, round(n * log10((SELECT count(*) FROM documents)::DOUBLE / doc_count), 6) AS weight
+SELECT doc_id, term, n, round(n * log10((SELECT count(*) FROM documents)::DOUBLE / doc_count) + 1e-9, 6) AS weight
 FROM cells JOIN vocab USING (term)"""
 _SMOOTH = """weighted AS (
   SELECT doc_id, term, n, n * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + doc_count)) + 1) AS raw
   FROM cells JOIN vocab USING (term)),
 scaled AS (SELECT doc_id, term, n,
-  round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM weighted)"""
+  round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) + 1e-9, 6) AS tfidf FROM weighted)"""
 _TERM2 = r"tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM documents)"
 ORACLE["tfidf_smooth_l2"] = f"""
 WITH {_TERM2}, grams AS (SELECT doc_id, unnest(w) AS term FROM tok), {GRAM_CELLS}, {VOCAB}, {_SMOOTH}
@@ -158,7 +159,7 @@ nzv AS (SELECT {', '.join('h.' + k.strip() for k in keys.split(','))}, doc_count
 
 ORACLE["nzv_terms"] = f"""
 WITH {CELLS}, {nzv_ctes('term', 'documents', False)}
-SELECT term, doc_count, round(freq_ratio, 6) AS freq_ratio, round(percent_unique, 6) AS percent_unique, nzv
+SELECT term, doc_count, round(freq_ratio + 1e-9, 6) AS freq_ratio, round(percent_unique + 1e-9, 6) AS percent_unique, nzv
 FROM nzv"""
 
 _easy = word_list(wl.EASY_WORDS)
@@ -238,20 +239,20 @@ for _i, _c in enumerate(ANSWERS, 1):
     _nb = f"nullif(length({_c}) - length(replace({_c}, ' ', '')), 0)"
     _by_answer += [
         f"CASE WHEN {_c} IS NOT NULL THEN round(5.88::DOUBLE * ({_letters}::DOUBLE / {_n}) - 29.6::DOUBLE * ({_st}::DOUBLE / {_n})"
-        f" - 15.8, 6) END AS readability_CL{_i}",
+        f" - 15.8 + 1e-9, 6) END AS readability_CL{_i}",
         f"CASE WHEN {_c} IS NOT NULL THEN round(1.0364::DOUBLE * (length({_c})::DOUBLE / {_nb}) + 0.0194::DOUBLE"
-        f" * (length({_c})::DOUBLE / {_st}) - 0.6059, 6) END AS readability_DB1_{_i}",
+        f" * (length({_c})::DOUBLE / {_st}) - 0.6059 + 1e-9, 6) END AS readability_DB1_{_i}",
         f"CASE WHEN {_c} IS NOT NULL THEN round(131.059 - 10.364::DOUBLE * (length({_c})::DOUBLE / {_nb})"
-        f" - 0.0194::DOUBLE * (length({_c})::DOUBLE / {_st}), 6) END AS readability_DB{_i}",
+        f" - 0.0194::DOUBLE * (length({_c})::DOUBLE / {_st}) + 1e-9, 6) END AS readability_DB{_i}",
     ]
 ORACLE["readability_by_answer"] = (
     f"WITH {ANSWERS_CTE} SELECT respondent_id, {', '.join(_by_answer)} FROM answers"
 )
 
 _LEXDIV = """
-CASE WHEN N > 1 AND N <> 1 THEN round(ln(V) / nullif(ln(N), 0), 6) + 0.0 END AS "lex_div_C",
-CASE WHEN N > 1 THEN round(V / sqrt(N), 6) + 0.0 END AS "lex_div_R",
-CASE WHEN N > 1 THEN round(pairs / nullif(N * (N - 1), 0), 6) + 0.0 END AS "lex_div_D" """
+CASE WHEN N > 1 AND N <> 1 THEN round(ln(V) / nullif(ln(N), 0) + 1e-9, 6) + 0.0 END AS "lex_div_C",
+CASE WHEN N > 1 THEN round(V / sqrt(N) + 1e-9, 6) + 0.0 END AS "lex_div_R",
+CASE WHEN N > 1 THEN round(pairs / nullif(N * (N - 1), 0) + 1e-9, 6) + 0.0 END AS "lex_div_D" """
 ORACLE["lexdiv_counts"] = f"""
 WITH {CELLS}, s AS (SELECT doc_id, count(*)::DOUBLE AS V, sum(n)::DOUBLE AS N, sum(n * (n - 1))::DOUBLE AS pairs
   FROM cells GROUP BY doc_id)
@@ -282,18 +283,18 @@ def _count(pattern: str) -> str:
 
 
 _profile = ", ".join(
-    f"round(100.0::DOUBLE * {_count(p)} / N, 6) AS \"{name}\"" for name, p in _marks.items()
+    f"round(100.0::DOUBLE * {_count(p)} / N + 1e-9, 6) AS \"{name}\"" for name, p in _marks.items()
 )
 _other = " - ".join(["len(regexp_extract_all(text, '\\p{P}'))"] + [_count(p) for p in _marks.values()])
 PROFILE_SQL = rf"""CAST(W AS INTEGER) AS "WC",
-  CASE WHEN W > 0 THEN round(W::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+'))), 6) END AS "WPS",
-  round(100.0::DOUBLE * len(list_filter(w, lambda t: length(t) > 6)) / N, 6) AS "Sixltr",
-  round(100.0::DOUBLE * len(regexp_extract_all(text, '\p{{P}}')) / N, 6) AS "AllPunc", {_profile},
-  round(100.0::DOUBLE * ({_other}) / N, 6) + 0.0 AS "OtherP" """
+  CASE WHEN W > 0 THEN round(W::DOUBLE / greatest(1, len(regexp_extract_all(text, '[.!?]+'))) + 1e-9, 6) END AS "WPS",
+  round(100.0::DOUBLE * len(list_filter(w, lambda t: length(t) > 6)) / N + 1e-9, 6) AS "Sixltr",
+  round(100.0::DOUBLE * len(regexp_extract_all(text, '\p{{P}}')) / N + 1e-9, 6) AS "AllPunc", {_profile},
+  round(100.0::DOUBLE * ({_other}) / N + 1e-9, 6) + 0.0 AS "OtherP" """
 _BASE = f"""base AS (SELECT doc_id, text, {words('text')} AS w FROM documents),
 sized AS (SELECT doc_id, text, w, len(w) AS n_words, nullif(len(w), 0) AS denom FROM base)"""
 _profile_sql = PROFILE_SQL.replace("CAST(W AS", "CAST(n_words AS").replace("W > 0", "n_words > 0")
-_profile_sql = _profile_sql.replace("W::DOUBLE", "n_words::DOUBLE").replace("/ N,", "/ denom,")
+_profile_sql = _profile_sql.replace("W::DOUBLE", "n_words::DOUBLE").replace("/ N +", "/ denom +")
 ORACLE["liwc_profile"] = f"WITH {_BASE} SELECT doc_id, {_profile_sql} FROM sized"
 
 _LEX = f"lex AS (SELECT * FROM {values(wl.DICTIONARIES, ['dict', 'category', 'pattern', 'weight'])})"
@@ -305,7 +306,7 @@ _cats = list(dict.fromkeys((d, c) for d, c, _, _ in wl.DICTIONARIES))
 _MAX = max(p.count("_") + 1 for _, _, p, _ in wl.DICTIONARIES)
 _first = _cats[0][0]
 _dict_cols = ", ".join(
-    f"round(100.0::DOUBLE * coalesce(c.{d}_{k}, 0) / denom, 6) AS {d}_{k}" for d, k in _cats
+    f"round(100.0::DOUBLE * coalesce(c.{d}_{k}, 0) / denom + 1e-9, 6) AS {d}_{k}" for d, k in _cats
 )
 _dict_sums = ", ".join(
     f"sum(n) FILTER (dict = '{d}' AND category = '{k}') AS {d}_{k}" for d, k in _cats
@@ -315,7 +316,7 @@ WITH {_LEX}, {_BASE}, tok AS (SELECT doc_id, w FROM base), {ngrams('tok', 'doc_i
 c AS (SELECT doc_id, {_dict_sums} FROM cells JOIN hits USING (term) GROUP BY doc_id),
 anyhit AS (SELECT doc_id, sum(n) AS dic FROM cells
   WHERE term IN (SELECT term FROM hits WHERE dict = '{_first}') GROUP BY doc_id)
-SELECT doc_id, {_profile_sql}, round(100.0::DOUBLE * coalesce(dic, 0) / denom, 6) AS "Dic", {_dict_cols}
+SELECT doc_id, {_profile_sql}, round(100.0::DOUBLE * coalesce(dic, 0) / denom + 1e-9, 6) AS "Dic", {_dict_cols}
 FROM sized LEFT JOIN c USING (doc_id) LEFT JOIN anyhit USING (doc_id)"""
 ORACLE["lexicon_multiword"] = f"""
 WITH {_LEX}, {TOKENS}, {ngrams('tok', 'doc_id', _MAX, n_min=2)}, {GRAM_CELLS}, {_MATCH}
@@ -354,7 +355,7 @@ def ratio_sql(texts: str, key: str, fields: list[tuple[str, str]], porter: bool
             for c in ["positive", "negative"] + (["uncertainty"] if d == "LM" else []):
                 inside = f"(SELECT pattern FROM lex WHERE dict = '{d}' AND category = '{c}')"
                 cols.append(f"count(*) FILTER (field = '{f}' AND term IN {inside}) AS {d}_{c}_{f}")
-            share = f"round(({{}})::DOUBLE / nullif(w_{f}, 0), 6) + 0.0 AS \"{prefix}{{}}\""
+            share = f"round(({{}})::DOUBLE / nullif(w_{f}, 0) + 1e-9, 6) + 0.0 AS \"{prefix}{{}}\""
             outs.append(share.format(f"{d}_positive_{f} - {d}_negative_{f}", f"Sentiment{d}"))
             outs.append(share.format(f"{d}_negative_{f}", f"Negativity{d}"))
             outs.append(share.format(f"{d}_positive_{f}", f"Positivity{d}"))
@@ -454,7 +455,7 @@ s7 AS (SELECT {key}, field, sent, coalesce(sum(score), 0) / sqrt(max(n_words)) A
 s8 AS (SELECT {key}, field, sum(x) AS total, count(*) FILTER (x <> 0) AS polar,
   count(*) FILTER (x = 0) AS flat FROM s7 GROUP BY {key}, field),
 s9 AS (SELECT {key}, field, text IS NOT NULL OR true AS txt, CASE WHEN coalesce(polar, 0) = 0 THEN 0.0::DOUBLE
-  ELSE round(total / (polar + sqrt(ln(1.0::DOUBLE + flat))), 6) + 0.0 END AS score
+  ELSE round(total / (polar + sqrt(ln(1.0::DOUBLE + flat))) + 1e-9, 6) + 0.0 END AS score
   FROM texts LEFT JOIN s8 USING ({key}, field))
 SELECT {key}, {outs} FROM s9 GROUP BY {key}"""
 
@@ -495,14 +496,14 @@ ORACLE["feature_target_corr"] = f"""
 WITH {COUNTS}, x AS (SELECT quality::DOUBLE AS quality, toxic::DOUBLE AS toxic,
   {', '.join(f'CAST({sql} AS DOUBLE) AS {name}' for name, sql in FORMULAS.items())} FROM f JOIN labels USING (doc_id)),
 r AS ({_corrs})
-SELECT target, feature, round(r, 4) + 0.0 AS r, CAST(row_number() OVER (PARTITION BY target
+SELECT target, feature, round(r + 1e-9, 4) + 0.0 AS r, CAST(row_number() OVER (PARTITION BY target
   ORDER BY round(abs(r), 6) DESC NULLS LAST, feature) AS INTEGER) AS rank FROM r"""
 ORACLE["readability_quality"] = f"""
 WITH {COUNTS}, x AS (SELECT lang, W, St, {FORMULAS['Flesch_Kincaid']} AS grade, quality::DOUBLE AS quality
   FROM f JOIN documents USING (doc_id) JOIN labels USING (doc_id))
-SELECT lang, count(*) AS n, round(avg(W), 4) AS avg_words, round(avg(St), 4) AS avg_sentences,
-  round(avg(grade), 4) AS avg_grade, CASE WHEN stddev_pop(grade) > 0 AND stddev_pop(quality) > 0
-  THEN round(corr(grade, quality), 4) + 0.0 END AS r_quality FROM x GROUP BY lang"""
+SELECT lang, count(*) AS n, round(avg(W) + 1e-9, 4) AS avg_words, round(avg(St) + 1e-9, 4) AS avg_sentences,
+  round(avg(grade) + 1e-9, 4) AS avg_grade, CASE WHEN stddev_pop(grade) > 0 AND stddev_pop(quality) > 0
+  THEN round(corr(grade, quality) + 1e-9, 4) + 0.0 END AS r_quality FROM x GROUP BY lang"""
 ORACLE["lexicon_wildcard"] = f"""
 WITH {_LEX}, {CELLS}, {_MATCH}
 SELECT dict, category, term, CAST(sum(n) AS BIGINT) AS n, count(*) AS doc_count
@@ -511,7 +512,6 @@ FROM cells JOIN hits USING (term) GROUP BY dict, category, term"""
 
 # Ridge with two features in closed form. Fold sums are taken about the overall
 # means; training sums are the total minus the fold.
-ALPHAS = [0.0, 0.05, 0.1, 0.3, 0.5, 0.8, 0.9, 0.95, 1.0, 1.2, 1.8, 10.0, 100.0, 10000.0, 1000000.0]
 _sums = ["a", "b", "y", "a*a", "a*b", "b*b", "a*y", "b*y", "y*y"]
 _names = ["sa", "sb", "sy", "saa", "sab", "sbb", "say", "sby", "syy"]
 ORACLE["ridge_grid"] = f"""
@@ -535,6 +535,25 @@ e AS (SELECT target, alpha, n, syy - sy * sy / n AS sst,
   - 2 * shift * (sy - wa * sa - wb * sb) + n * shift * shift AS sse FROM d)
 SELECT alpha, target, round(sum(n * (1 - sse / sst)) / sum(n), 7) AS cv_r2,
   round(ln(sum(sse) / sum(n)), 7) AS cv_log_mse FROM e GROUP BY alpha, target"""
+
+# One feature: the elastic net is a soft threshold.
+ORACLE["elastic_one_feature"] = f"""
+WITH folded AS (SELECT *, ntile(10) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fold
+  FROM lineitem),
+z AS (SELECT fold, l_quantity - (SELECT avg(l_quantity) FROM lineitem) AS a,
+  l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem) AS y FROM folded),
+f AS (SELECT fold, count(*)::DOUBLE AS n, sum(a) AS sa, sum(y) AS sy, sum(a*a) AS saa, sum(a*y) AS say, sum(y*y) AS syy
+  FROM z GROUP BY fold),
+t AS (SELECT *, sum(n) OVER () - n AS tn, sum(sa) OVER () - sa AS tsa, sum(sy) OVER () - sy AS tsy,
+  sum(saa) OVER () - saa AS tsaa, sum(say) OVER () - say AS tsay FROM f),
+c AS (SELECT *, (tsaa - tsa * tsa / tn) / tn AS g, (tsay - tsa * tsy / tn) / tn AS b FROM t),
+k AS (SELECT * FROM c CROSS JOIN {values([(a, r) for a in ALPHAS for r in L1_RATIOS], ['alpha', 'l1_ratio'])}),
+w AS (SELECT *, sign(b) * greatest(abs(b) - alpha * l1_ratio, 0) / (g + alpha * (1 - l1_ratio)) AS wa FROM k),
+d AS (SELECT *, (tsy - wa * tsa) / tn AS shift FROM w),
+e AS (SELECT alpha, l1_ratio, n, syy - sy * sy / n AS sst,
+  syy - 2 * wa * say + wa * wa * saa - 2 * shift * (sy - wa * sa) + n * shift * shift AS sse FROM d)
+SELECT alpha, l1_ratio, 'l_extendedprice' AS target, round(sum(n * (1 - sse / sst)) / sum(n), 7) AS cv_r2,
+  round(ln(sum(sse) / sum(n)), 7) AS cv_log_mse FROM e GROUP BY alpha, l1_ratio"""
 ORACLE["holdout_metrics"] = """
 WITH x AS (SELECT l_returnflag AS target, l_extendedprice AS y, l_quantity * 1500 AS pred FROM lineitem)
 SELECT target, count(*) AS n, round(corr(pred, y), 6) AS r,

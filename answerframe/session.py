@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites of every column are only worth their cost while debugging
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

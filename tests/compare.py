@@ -54,7 +54,9 @@ def differences(spark_df, con, sql: str) -> str | None:
     want.sort(key=row_key)
     bad = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
     if bad:
-        return f"{len(bad)} of {len(got)} rows differ, types {got_types}, first {str(bad[0])[:600]}"
+        pairs = zip(names, *bad[0], strict=True)
+        told = [(n, got_types[n], g, w) for n, g, w in pairs if g != w][:6]
+        return f"{len(bad)} of {len(got)} rows differ: {told}"
     return None
 
 
