@@ -66,7 +66,8 @@ class Linear:
 
 
 class SparkRegressor:
-    """Any Spark ML regressor; ``build(params)`` returns it with ``features``/``y``/``pred`` set.
+    """Any Spark ML regressor; ``build(params)`` returns it with its columns set
+    to ``_features``, ``_y`` and ``pred``.
 
     Fold × candidate fits are independent Spark jobs, ``parallelism`` at a time.
     """
@@ -84,7 +85,7 @@ class SparkRegressor:
 
     def _vectors(self, df, features, target):
         return df.withColumns(
-            {"features": array_to_vector(feature_array(features)), "y": F.col(target).cast("double")}
+            {"_features": array_to_vector(feature_array(features)), "_y": F.col(target).cast("double")}
         )
 
     def fold_scores(self, train, features, targets, candidates):
@@ -96,7 +97,7 @@ class SparkRegressor:
             rows = self._vectors(train, features, target)
             model = self.build(params).fit(rows.where(F.col("fold") != f))
             held = model.transform(rows.where(F.col("fold") == f))
-            s = metrics.scores(held, []).first()
+            s = metrics.scores(held, [], y="_y").first()
             r2 = float("nan") if s["r2"] is None else s["r2"]
             return (i, f, target, s["n"], r2, s["mse"])
 
@@ -108,7 +109,7 @@ class SparkRegressor:
 
     def fit_predict(self, train, holdout, features, target, params):
         model = self.build(params).fit(self._vectors(train, features, target))
-        return model.transform(self._vectors(holdout, features, target)).drop("features", "y")
+        return model.transform(self._vectors(holdout, features, target)).drop("_features", "_y")
 
 
 # Parameters of the usual forest grid and what Spark calls them.
@@ -140,7 +141,7 @@ class Forest(SparkRegressor):
 
     def _build(self, params):
         return RandomForestRegressor(
-            featuresCol="features", labelCol="y", predictionCol="pred", seed=self.seed, **params
+            featuresCol="_features", labelCol="_y", predictionCol="pred", seed=self.seed, **params
         )
 
     def candidates(self, grid):
@@ -166,7 +167,8 @@ def pick(scores: list[Score], scoring: str, shared: bool) -> dict[str, tuple[int
     sums: dict[tuple[str, int], list[float]] = {}
     for i, _fold, target, n, r2, mse in scores:
         acc = sums.setdefault((target, i), [0.0, 0.0])
-        acc[0] += n * (r2 if scoring == "r2" else -mse)
+        value = r2 if scoring == "r2" else -mse
+        acc[0] += n * (float("nan") if value is None else value)
         acc[1] += n
     mean = {key: a / b for key, (a, b) in sums.items()}
     targets = list(dict.fromkeys(t for t, _ in mean))
@@ -297,6 +299,13 @@ class TextGridSearch(GridSearch):
             out += [s for s in scores if s[1] == f]
         return out
 
+    def tune(self, train, holdout, features, targets, scorings=("r2",), shared=False):
+        out = super().tune(train, holdout, features, targets, scorings, shared)
+        for key in [k for k in self._prepared if k != "holdout"]:
+            for df in self._prepared.pop(key):
+                df.unpersist()
+        return out
+
     def fit_predict(self, name, train, holdout, features, target, params):
         fitted, held = self._features("holdout", train, holdout)
         return super().fit_predict(name, fitted, held, "text_features", target, params)
