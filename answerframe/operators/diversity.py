@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import RowBlock, select_blocks
 from ..functions.text import ratio
 from ..functions.tokens import bind, corpus_tokens, count_runs, ngrams, words
-from .terms import near_zero_variance, term_counts, tfidf_log10
+from .terms import term_counts, tfidf_log10, varied_terms
 
 
 def _indices(v: Column, n: Column, pairs: Column) -> list[Column]:
@@ -61,8 +61,8 @@ def weighted_diversity(
         ),
     )
     cells = term_counts(texts, [id_col, "field"], ngrams(corpus_tokens("text"), 1, n_max))
-    kept = near_zero_variance(cells, df, by=["field"], weighted=True).where(~F.col("nzv"))
-    weights = tfidf_log10(cells, df, ["field"], kept.select("field", "term", "doc_count"))
+    kept = varied_terms(cells, df, by=["field"], weighted=True)
+    weights = tfidf_log10(cells, df, ["field"], kept)
     w = F.col("weight")
     sums = weights.groupBy(id_col).agg(
         F.sum(F.when(w != 0, 1.0).otherwise(0.0)).alias("V"),

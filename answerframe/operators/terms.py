@@ -157,6 +157,31 @@ def near_zero_variance(
     )
 
 
+def varied_terms(
+    cells: DataFrame,
+    docs: DataFrame,
+    by: Sequence[str] = (),
+    freq_cut: float = 95 / 5,
+    unique_cut: float = 10,
+    weighted: bool = False,
+) -> DataFrame:
+    """``(by…, term, doc_count)`` of the terms that are not near-zero-variance.
+
+    A term of ``df`` texts has a ratio of at least ``(N - df) / df`` and at most
+    ``df + 1`` values, so rare terms fail without a look at their histogram. Only
+    the others, at most ``freq_cut + 1`` times a text's usual number of terms,
+    are judged in full.
+    """
+    total = docs.agg(F.count("*")).scalar()
+    df = F.col("doc_count")
+    rare = (df * (freq_cut + 1) < total) & (100 * (df + 1) <= unique_cut * total)
+    likely = vocabulary(cells, by).where(~rare)
+    judged = near_zero_variance(
+        keep_vocabulary(cells, likely, by), docs, by, freq_cut, unique_cut, weighted
+    )
+    return judged.where(~F.col("nzv")).select(*by, "term", "doc_count")
+
+
 def number_terms(
     vocab: DataFrame, by: Sequence[str] = (), buckets: int = 1024
 ) -> DataFrame:
