@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rows import RowBlock, select_blocks
 from ..functions.text import ratio
 from ..functions.tokens import bind, corpus_tokens, count_runs, ngrams, words
-from .terms import term_counts, tfidf_log10, varied_terms
+from .terms import likely_varied, near_zero_variance, term_counts, tfidf_log10
 
 
 def _indices(v: Column, n: Column, pairs: Column) -> list[Column]:
@@ -61,7 +61,9 @@ def weighted_diversity(
         ),
     )
     cells = term_counts(texts, [id_col, "field"], ngrams(corpus_tokens("text"), 1, n_max))
-    kept = varied_terms(cells, df, by=["field"], weighted=True)
+    cells = likely_varied(cells, df, ["field"])
+    judged = near_zero_variance(cells, df, ["field"], weighted=True)
+    kept = judged.where(~F.col("nzv")).select("field", "term", "doc_count")
     weights = tfidf_log10(cells, df, ["field"], kept)
     w = F.col("weight")
     sums = weights.groupBy(id_col).agg(

@@ -9,21 +9,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
+from ..session import checkpoint, fits_broadcast
 
 HEAD_TERMS = 10_000
 SALTS = 64
+VOCABULARY_ROWS, VOCABULARY_CHARS = 1_000_000, 32_000_000
 
 
 def join_vocabulary(cells: DataFrame, vocab: DataFrame, freq_col: str, on: list[str]) -> DataFrame:
     """Inner join of ``cells`` with a vocabulary that is unique on ``on``.
 
-    ``freq_col`` is how many cells an entry matches. At most ``HEAD_TERMS``
+    The vocabulary is written to the checkpoint folder once, as it is an aggregate
+    over all texts and read several times here. One proven small is broadcast.
+    For a larger one, ``freq_col`` is how many cells an entry matches: at most ``HEAD_TERMS``
     entries can each hold 1/``HEAD_TERMS`` of all cells, so that head is small
     whatever the data and is broadcast. Cells it settles are spread by row hash
     through the second join, which then only sees entries too rare to be hot.
     """
-    values = [c for c in vocab.columns if c not in on]
+    vocab = checkpoint(vocab)
+    if fits_broadcast(vocab, VOCABULARY_ROWS, VOCABULARY_CHARS):
+        return cells.join(F.broadcast(vocab), on).select(*cells.columns, *_others(vocab, on))
+    return _head_tail_join(cells, vocab, freq_col, on)
+
+
+def _others(df: DataFrame, on: list[str]) -> list[str]:
+    return [c for c in df.columns if c not in on]
+
+
+def _head_tail_join(
+    cells: DataFrame, vocab: DataFrame, freq_col: str, on: list[str]
+) -> DataFrame:
+    values = _others(vocab, on)
     total = vocab.agg(F.sum(freq_col)).scalar()
     is_head = F.col(freq_col) * HEAD_TERMS >= total
     head = vocab.where(is_head).select(*on, F.struct(*values).alias("_head"))

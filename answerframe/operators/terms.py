@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import count_runs, ngrams, words
+from ..session import checkpoint
 from .joins import join_vocabulary, lookup
 
 
@@ -157,29 +158,23 @@ def near_zero_variance(
     )
 
 
-def varied_terms(
+def likely_varied(
     cells: DataFrame,
     docs: DataFrame,
     by: Sequence[str] = (),
     freq_cut: float = 95 / 5,
     unique_cut: float = 10,
-    weighted: bool = False,
 ) -> DataFrame:
-    """``(by…, term, doc_count)`` of the terms that are not near-zero-variance.
+    """Cells of the terms that may pass the near-zero-variance test, written out once.
 
     A term of ``df`` texts has a ratio of at least ``(N - df) / df`` and at most
-    ``df + 1`` values, so rare terms fail without a look at their histogram. Only
-    the others, at most ``freq_cut + 1`` times a text's usual number of terms,
-    are judged in full.
+    ``df + 1`` values, so rare terms fail without a look at their histogram. What
+    is left is at most ``freq_cut + 1`` times a text's usual number of terms.
     """
     total = docs.agg(F.count("*")).scalar()
     df = F.col("doc_count")
     rare = (df * (freq_cut + 1) < total) & (100 * (df + 1) <= unique_cut * total)
-    likely = vocabulary(cells, by).where(~rare)
-    judged = near_zero_variance(
-        keep_vocabulary(cells, likely, by), docs, by, freq_cut, unique_cut, weighted
-    )
-    return judged.where(~F.col("nzv")).select(*by, "term", "doc_count")
+    return checkpoint(keep_vocabulary(cells, vocabulary(cells, by).where(~rare), by))
 
 
 def number_terms(
@@ -190,6 +185,7 @@ def number_terms(
     Terms fall into hash buckets; a bucket's start is the running total of the
     bucket sizes (at most ``buckets`` rows), and terms are numbered inside it.
     """
+    vocab = checkpoint(vocab)
     hashed = vocab.withColumn("_bucket", F.pmod(F.xxhash64(*by, "term"), F.lit(buckets)))
     sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
