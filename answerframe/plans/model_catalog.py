@@ -163,7 +163,7 @@ def labelled_documents(spark, sf):
 
 
 @query
-def tfidf_svd_pipeline(spark, sf):
+def tfidf_svd_search(spark, sf):
     """TF-IDF → SVD → ridge, the text part refitted inside every fold."""
     rows = sp.hash_folds(labelled_documents(spark, sf), "doc_id", 3)
     train, holdout = sp.part(rows, "Train"), sp.part(rows, "Dev", "Test")

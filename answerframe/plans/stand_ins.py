@@ -29,14 +29,12 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     stated, because texts are cheap in bytes and dear in work: merging the
     partitions by size would leave most cores idle.
     """
-    parts = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
     turns = read(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 100_000 + F.floor(F.col("turn") / 5)).alias("respondent_id"),
         (F.col("turn") % 5).alias("slot"),
         "text",
     )
+    parts = max(turns.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
     return turns.repartition(parts, "respondent_id").groupBy("respondent_id").agg(
         *[F.max(F.when(F.col("slot") == i, F.col("text"))).alias(c) for i, c in enumerate(ANSWERS)]
     )
