@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # checkpoint files go when the DataFrame that holds them does
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # call sites of every column are only worth their cost while debugging
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -34,13 +36,13 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "answerframe") -
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for data kept between jobs, shared by driver and executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local-mode session without one gets a temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local-mode
+    session without one gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
         if folder is None:
@@ -48,6 +50,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
