@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, simhash
+from . import fingerprint, langid, linededup, mixing, packing, quality, secrets, simhash, topk, toxicity
 from .common import documents
 
 QUERIES = {}
@@ -16,6 +17,13 @@ def query(fn):
     return fn
 
 
+@query
+def op1_toxicity(spark, sf):
+    """Expected severity grade of each document, learned from the labelled ones."""
+    docs = documents(spark, sf)
+    return toxicity.predict(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
 @query
 def op2_language(spark, sf):
     """Language of each document, learned from the documents that are not held out."""
@@ -26,12 +34,37 @@ def op2_language(spark, sf):
     return marked.select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op3_fingerprints(spark, sf):
+    """Fingerprints of each document and of its edited text, and their likeness."""
+    return fingerprint.compared(documents(spark, sf))
+
+
 @query
 def op4_simhash(spark, sf):
     found = simhash.near_groups(documents(spark, sf))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op5_secrets(spark, sf):
+    """Secret spans of each document: by pattern, and by the Markov models learned from the documents."""
+    docs = documents(spark, sf)
+    found = secrets.scan(docs, secrets.fit(secrets.labelled_strings(docs)))
+    return found.select(
+        "doc_id",
+        *[F.col(c).cast("long").alias(c) for c in ("n_assign", "n_access", "n_hex")],
+        F.sha2(secrets.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(secrets.all_spans()).alias("spans"),
+    )
+
+
+@query
+def op6_packing(spark, sf):
+    """All documents as pieces of sequences of at most 1024 tokens."""
+    return packing.pack_documents(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op7_line_dedup(spark, sf):
     docs = documents(spark, sf)
@@ -59,6 +92,36 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op8_top_products(spark, sf):
+    """The five highest integer inner products of each row whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+ORACLE["op8_top_products"] = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
+@query
+def op9_quality(spark, sf):
+    """Quality of each document by two views that teach each other."""
+    docs = documents(spark, sf)
+    scored = quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    return scored.select("doc_id", "p_text", "p_meta", "quality_score", "keep")
+
+
 @query
 def op10_mix(spark, sf):
     mixed = mixing.mix(documents(spark, sf))

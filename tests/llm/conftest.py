@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -57,11 +58,17 @@ def edge_docs(make):
 def odd_docs(edge_docs):
     """The edge rows with more columns, some named like columns the operators make or use inside."""
     names = "fp component_id score lang_pred n_lines n_dropped key draw size row shard hi lo c0 TEXT a.b start"
-    out = edge_docs
-    from pyspark.sql import functions as F
+    return with_columns(edge_docs, names.split())
 
-    values = [F.lit(k).cast("int") for k in range(len(names.split()))]
-    return out.select("*", *[v.alias(n) for v, n in zip(values, names.split(), strict=True)])
+
+@pytest.fixture(scope="session")
+def stored_odd_docs(edge_docs):
+    """The same for tables that can be stored, where names may not differ in case alone."""
+    return with_columns(edge_docs, "fp component_id score keep row group repeats turn key draw size hi lo c0 c1 id".split())
+
+
+def with_columns(df, names):
+    return df.select("*", *[F.lit(k).cast("int").alias(n) for k, n in enumerate(names)])
 
 
 @pytest.fixture(scope="session")
