@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,14 +71,6 @@ def blocks(lengths: Sequence[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[i
         yield a, len(lengths)
 
 
-def mix64(x: np.ndarray) -> np.ndarray:
-    """A well-mixed 64-bit hash of each unsigned 64-bit number."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], schema: str) -> DataFrame:
     """Replace each Arrow batch by the columns ``fn`` makes of it.
 
@@ -104,3 +98,19 @@ def strings(values) -> pa.Array:
 
 def doubles(values) -> pa.Array:
     return pa.array(values, pa.float64())
+
+
+def share(spark, value) -> Callable[[], object]:
+    """Broadcast an object of this package; the result gives it back inside a task.
+
+    It travels with its class, as functions do, so that executors need no copy of the package.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    held: list = []
+
+    def get():
+        if not held:
+            held.append(pickle.loads(data.value))
+        return held[0]
+
+    return get

@@ -1,12 +1,15 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is its lower-cased words, each weighted by how often it occurs. For each of ``SAMPLES`` sample numbers and each
-word, three random variables that depend on the word and the number alone are drawn: ``r`` and ``c`` from Gamma(2, 1) and
-``b`` from the uniform distribution. With ``t = floor(ln w / r + b)`` the word's value is ``ln c - r (t - b) - r``; the word with the
+word, random variables that depend on the word and the number alone are drawn: ``r`` and ``c`` from Gamma(2, 1) and
+``b`` from the uniform distribution. With ``t = floor(ln w / r + b)`` the word's value is ``c exp(-r (t - b) - r)``; the word with the
 smallest value is the sample, together with its ``t``. Two texts agree in a sample with a probability
 equal to their generalised Jaccard similarity, the sum of smaller weights over the sum of larger ones.
 
-A value and its sample are kept as one 64-bit number (value in the upper half, in an order-preserving form), so the
+``r b`` and ``r (1 - b)`` are two independent exponentials, so they are drawn in place of ``r`` and ``b``: with uniform
+``u`` and ``v``, ``r = -ln(u v)``, ``r b = -ln u``, and the value is ``c v exp(-r t)``. A word that occurs once has ``t = 0``.
+
+A value and its sample are kept as one 64-bit number (the positive value's bits in the upper half), so the
 smallest number of a text's words is its sample. Numbers of a (word, weight) are made once and reused.
 """
 
@@ -24,42 +27,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import doubles, longs, mix64, partitions_for, pick, strings
+from .common import doubles, longs, partitions_for, pick, strings
 
 SAMPLES = 128
 #: (word, weight) pairs whose numbers a task keeps.
-TABLE_ROWS = 24_576
+TABLE_ROWS = 49_152
 #: Pairs of a text compared at once.
 PAIRS_AT_ONCE = 8_192
 EMPTY = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
 
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A well-mixed hash of each unsigned 32-bit number, in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def uniform(bits: np.ndarray) -> np.ndarray:
-    """32 random bits as a number in (0, 1)."""
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+    """The upper 24 of 32 random bits as a number in (0, 1)."""
+    bits >>= np.uint32(8)
+    out = bits.astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-24)
+    return out
 
 
-def sample_numbers(words: list[str], weights: np.ndarray) -> np.ndarray:
+def sample_numbers(words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """``len(words) x SAMPLES`` numbers: value in the upper, word and ``t`` hashed in the lower 32 bits."""
-    ids = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    with np.errstate(over="ignore"):
-        base = ids[:, None] + np.arange(1, SAMPLES + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        one = mix64(base)
-        two = mix64(one + np.uint64(0xD1B54A32D192ED03))
-        three = mix64(two + np.uint64(0x8CB92BA72F3D8DD7))
-    low, high = np.uint64(0xFFFFFFFF), np.uint64(32)
-    tiny = np.float32(1e-10)
-    r = -np.log(np.minimum(uniform(one & low), 1 - np.float32(1e-7))) - np.log(uniform(one >> high))
-    c = -np.log(np.minimum(uniform(two & low), 1 - np.float32(1e-7))) - np.log(uniform(two >> high))
-    r = np.maximum(r, tiny)
-    b = uniform(three & low)
-    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + b)
-    value = (np.log(np.maximum(c, tiny)) - r * (t - b) - r).astype(np.float32)
-    bits = value.view(np.uint32)
-    ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        sample = mix64(ids[:, None] ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) >> high
-    return ordered << high | sample
+    ids = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    low, high = ids.astype(np.uint32)[:, None], (ids >> np.uint64(32)).astype(np.uint32)[:, None]
+    turn = np.arange(1, SAMPLES + 1, dtype=np.uint32)[None, :] * np.uint32(0x9E3779B9)
+    base = mix32(low + turn)
+    base ^= high
+    draw = lambda k, of: uniform(mix32(of + np.uint32(k * 0x632BE5AB & 0xFFFFFFFF)))
+    v = draw(0, base)
+    value = draw(1, base)
+    value *= draw(2, base)
+    np.log(value, out=value)
+    value *= v
+    np.negative(value, out=value)
+    t = np.zeros((len(words), 1), np.uint32)
+    more = np.flatnonzero(weights > 1)
+    if len(more):
+        u = draw(3, base[more])
+        r = -np.log(u * v[more])
+        steps = np.floor((np.log(weights[more]).astype(np.float32)[:, None] - np.log(u)) / r)
+        value[more] *= np.exp(-r * steps)
+        t = np.zeros(value.shape, np.uint32)
+        t[more] = steps.astype(np.uint32)
+    sample = mix32(mix32(low ^ (t * np.uint32(0x9E3779B9))) ^ high)
+    out = value.view(np.uint32).astype(np.uint64)
+    out <<= np.uint64(32)
+    out |= sample
+    return out
 
 
 class Sampler:
@@ -67,9 +91,9 @@ class Sampler:
 
     def __init__(self):
         self.table = np.zeros((TABLE_ROWS, SAMPLES), np.uint64)
-        self.rows: dict[tuple[str, int], int] = {}
+        self.rows: dict[tuple[bytes, int], int] = {}
 
-    def _places(self, pairs: list[tuple[str, int]]) -> np.ndarray:
+    def _places(self, pairs: list[tuple[bytes, int]]) -> np.ndarray:
         new = [p for p in pairs if p not in self.rows]
         if len(self.rows) + len(new) > TABLE_ROWS:
             self.rows, new = {}, pairs
@@ -85,7 +109,6 @@ class Sampler:
         pairs = list(Counter(text.lower().encode("utf-8", "surrogatepass").split()).items())
         if not pairs:
             return EMPTY
-        pairs = [(w.decode("utf-8", "surrogatepass"), n) for w, n in pairs]
         best = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
         for a in range(0, len(pairs), PAIRS_AT_ONCE):
             found = self.table[self._places(pairs[a : a + PAIRS_AT_ONCE])].min(axis=0)
@@ -117,7 +140,7 @@ def with_next(docs: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[list]],
     key = F.coalesce("doc_id", F.lit(-(2**63)))  # nulls come first
     rows = pick(docs, "doc_id", "text").select("doc_id", key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     parts = partitions_for(rows)
-    ids = rows.select("key").repartitionByRange(2 * parts, "key")
+    ids = rows.select("key").repartitionByRange(parts, "key")
     lows = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("low"))
     shared = docs.sparkSession.sparkContext.broadcast(np.sort([r["low"] for r in lows.collect()]).astype(np.int64))
     n = max(1, len(shared.value))
@@ -134,9 +157,9 @@ def with_next(docs: DataFrame, fn: Callable[[Iterable[tuple]], Iterator[list]],
     )
     turns = F.when(F.col("begins") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     both = own.select("*", F.explode(turns).alias("guest")).select(
-        "doc_id", "key", "text", ((F.col("range") + F.lit(n) - F.col("guest")) % n).alias("range"), "guest"
+        "doc_id", "key", "text", ((F.col("range") + F.lit(n) - F.col("guest")) % n).cast("int").alias("range"), "guest"
     )
-    sorted_ = both.repartition(parts, "range").sortWithinPartitions("range", "guest", "key", "text")
+    sorted_ = both.repartitionById(n, "range").sortWithinPartitions("range", "guest", "key", "text")
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
     def run(batches):

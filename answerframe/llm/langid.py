@@ -22,6 +22,7 @@ from .common import (
     doubles,
     map_arrow,
     pick,
+    share,
     strings,
 )
 
@@ -143,10 +144,10 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     A null text or one without a letter is ``und`` with score 0. Equal sums go to the language
     that comes first by name. Repeated rows are repeated; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batch):
-        names, score = predict_texts(batch.column(1).to_pylist(), shared.value)
+        names, score = predict_texts(batch.column(1).to_pylist(), shared())
         return [batch.column(0), strings(names), doubles(score)]
 
     return map_arrow(pick(docs, "doc_id", "text"), run, "doc_id long, lang_pred string, score double")

@@ -12,13 +12,13 @@ number and a running number, so a task that is run again gives the same sequence
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,20 +32,22 @@ TOKENS = 1024
 SEGMENTS = 256
 #: Remainders that wait for a place.
 POOL = 512
-#: Tokenised words kept by a task.
-CACHE = 300_000
 SEPARATOR = 0
-#: Blanks other than single spaces and line feeds between words, or at an end.
-ODD_BLANKS = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
+# Fixed value: how byte-level tokenizers cut a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LOOK_AHEAD = r"\s+(?!\S)|"
+TWO_BLANKS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+#: Blanks that regular-expression engines do not agree on.
+ODD_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 TASK_BITS = 40
 
 
-class WordTokenizer:
-    """Token ids of whole texts; each distinct word is tokenised once.
+class TextTokenizer:
+    """Token ids of whole texts under a byte-level BPE file of the ``tokenizers`` library.
 
-    The tokenizer's pattern never joins text across a single space or line feed that stands between other
-    characters: the space begins the next word, the line feed is a word of its own. Such texts are cut there;
-    texts with other blanks are tokenised whole.
+    The file's vocabulary and merges are handed to the faster merge loop of ``tiktoken``, which gives the same ids if
+    merges are numbered in their order. Texts with a special token's string or an unusual blank, and all texts of a
+    file of another kind, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -53,32 +55,52 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        with open(path, encoding="utf-8") as file:
+            self.fast, self.special = _merge_loop(json.load(file))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def words(self, text: str) -> list[str] | None:
-        """The words a text may be cut into; None if it must stay whole."""
-        if not text or ODD_BLANKS.search(text):
+    def _loop(self, text: str):
+        """The merge loop for a text: with a simpler split if no blanks meet; None if the library must do it."""
+        if self.fast is None or ODD_BLANKS.search(text) or any(s in text for s in self.special):
             return None
-        cut = text.replace(" ", "\r ").replace("\n", "\r\n\r")  # a carriage return is an odd blank, so none is there
-        return cut.split("\r")
+        single, general = self.fast
+        apart = not any(pair in text for pair in TWO_BLANKS) and text.strip() == text
+        return single if apart else general
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.words(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        new = list({w for p in parts if p for w in p if w not in known})
-        known.update(zip(new, self.encode(new), strict=True))
-        whole = iter(self.encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        loops = [self._loop(t) for t in texts]
+        rest = [t for t, loop in zip(texts, loops, strict=True) if loop is None]
+        whole = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
         return [
-            np.array(list(chain.from_iterable(map(known.__getitem__, p))) if p else next(whole), np.uint32)
-            for p in parts
+            np.array(next(whole).ids, np.uint32) if loop is None else loop.encode_to_numpy(t, disallowed_special=())
+            for t, loop in zip(texts, loops, strict=True)
         ]
 
 
+def _merge_loop(spec: dict):
+    """Two ``tiktoken`` encodings of the same vocabulary and the special strings; None if the file is of another kind.
+
+    The first one is for texts in which every blank stands alone: looking ahead then changes nothing.
+    """
+    import tiktoken
+
+    special = [t["content"] for t in spec.get("added_tokens", [])]
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    usual = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not usual or model.get("type") != "BPE" or spec.get("normalizer") or model.get("dropout"):
+        return None, special
+    vocab = model["vocab"]
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+        return None, special
+    # byte-level files write printable bytes as themselves and the others, in order, from code point 256 on
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocab.items() if token not in special}
+    patterns = SPLIT.replace(LOOK_AHEAD, ""), SPLIT
+    return tuple(tiktoken.Encoding("file", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in patterns), special
+
+
 @dataclass
 class Example:
     key: int | None
@@ -114,7 +136,8 @@ class Packer:
         self.limits = np.array([tokens, segments, tokens if loss is None else loss], float)
         self.tokens, self.pool_size = tokens, pool
         self.pool: list[Example] = []
-        self.demand = np.zeros((0, 3))
+        self.demand = np.zeros((pool + 2, 3))  # sizes of what waits, one row each
+        self.relative = np.zeros((pool + 2, 3))  # the same as shares of the limits
         self.sequence = 0
         self.room = self.limits.copy()
         self.offset = 0
@@ -156,35 +179,37 @@ class Packer:
             else:
                 self._next()
         if len(example):
+            self._measure(len(self.pool), example)
             self.pool.append(example)
-            self.demand = np.vstack([self.demand, self._sizes(example)])
         while len(self.pool) > self.pool_size:
             self._take()
 
-    def _sizes(self, e: Example) -> np.ndarray:
-        return np.array([len(e), 1.0, np.count_nonzero(e.loss[e.start : e.end])])
+    def _measure(self, at: int, e: Example) -> None:
+        self.demand[at] = len(e), 1, np.count_nonzero(e.loss[e.start : e.end])
+        self.relative[at] = self.demand[at] / self.limits
 
     def _take(self) -> None:
         """Place the waiting example with the largest dot product, or a cut of the largest one."""
-        relative, room = self.demand / self.limits, self.room / self.limits
-        product = relative @ room
-        product[(self.demand > self.room).any(axis=1)] = -1
+        n = len(self.pool)
+        demand = self.demand[:n]
+        product = self.relative[:n] @ (self.room / self.limits)
+        product[(demand > self.room).any(axis=1)] = -1
         best = int(product.argmax())
         if product[best] < 0:
-            best = int(self.demand[:, 0].argmax())
+            best = int(demand[:, 0].argmax())
         e = self.pool[best]
-        n = self._fits(e, self.tokens)
-        if not n:
+        k = self._fits(e, self.tokens)
+        if not k:
             self._next()
-            n = self._fits(e, self.tokens)
-        self._place(e, n)
+            k = self._fits(e, self.tokens)
+        self._place(e, k)
         if len(e):
-            self.demand[best] = self._sizes(e)
+            self._measure(best, e)
         else:
-            self.pool[best] = self.pool[-1]
-            self.demand[best] = self.demand[-1]
-            self.pool.pop()
-            self.demand = self.demand[:-1]
+            last = self.pool.pop()
+            if best < n - 1:
+                self.pool[best] = last
+                self.demand[best], self.relative[best] = self.demand[n - 1], self.relative[n - 1]
 
     def finish(self) -> None:
         """Place what waits; the last open sequence is cut anew into sequences with powers of two for lengths."""
@@ -209,7 +234,7 @@ class Packer:
                 self._next()
 
 
-def examples(rows: list[tuple[int | None, str]], tokenizer: WordTokenizer) -> Iterator[Example]:
+def examples(rows: list[tuple[int | None, str]], tokenizer: TextTokenizer) -> Iterator[Example]:
     """Tokenised texts, each followed by the separator, which bears no loss."""
     for (key, _), ids in zip(rows, tokenizer([t for _, t in rows]), strict=True):
         loss = np.ones(len(ids) + 1, bool)
@@ -231,7 +256,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False, **l
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(batches):
-        tokenizer, packer = WordTokenizer(vocabulary), Packer(**limits)
+        tokenizer, packer = TextTokenizer(vocabulary), Packer(**limits)
         task = TaskContext.get().partitionId() << TASK_BITS
 
         def made(pieces: list[Piece]) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, doubles, pick, with_private_names
+from .common import bounded_sample, doubles, pick, share, with_private_names
 
 MAX_LABELLED, MAX_UNLABELLED = 8_000, 6_000
 TEXT_BITS, META_BITS = 16, 12
@@ -237,13 +237,13 @@ def score(docs: DataFrame, model: QualityModel, keep: float = KEEP) -> DataFrame
 
     Nulls are a value of their own in either view. Columns of ``docs`` stay, also those named like the new ones.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     renamed, names = with_private_names(docs)
     text, lang, source = (names.index(c) for c in ("text", "lang", "source"))
     n = len(names)
 
     def run(batches):
-        model = shared.value
+        model = shared()
         for batch in batches:
             parts = zip(*(batch.column(k).to_pylist() for k in (text, lang, source)), strict=True)
             odds = np.array([model.log_odds(*p) for p in parts], float).reshape(-1, 2)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import longs, map_arrow, pick
+from .common import longs, map_arrow, pick, share
 
 SHINGLE = 3
 SEED = 42
@@ -207,17 +207,17 @@ def links(distinct: DataFrame) -> DataFrame:
     """``a, b``: links between the values of ``distinct`` (one column ``fp``, no repeats) that connect all that are near."""
     spark = distinct.sparkSession
     n = distinct.count()
-    share = min(1.0, MAX_SAMPLE / max(1, n))
-    drawn = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(2**20)) < int(share * 2**20) + 1).limit(2 * MAX_SAMPLE)
+    portion = min(1.0, MAX_SAMPLE / max(1, n))
+    drawn = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(2**20)) < int(portion * 2**20) + 1).limit(2 * MAX_SAMPLE)
     sample = np.array(drawn.toPandas()["fp"].sort_values(), np.int64)
     n_shards = int(min(MAX_SHARDS, 1 + n // SHARD_ROWS))
     trees = [VantageTree.build(half, n_shards) for half in halves(sample)]
-    shared = spark.sparkContext.broadcast(trees)
+    shared = share(spark, trees)
 
     def place(batch):
         fp = batch.column(0).to_numpy()
         out = []
-        for k, (tree, half) in enumerate(zip(shared.value, halves(fp), strict=True)):
+        for k, (tree, half) in enumerate(zip(shared(), halves(fp), strict=True)):
             at, leaf = tree.shards(half)
             out.append((fp[at], 2 * leaf + k))
         return [longs(np.concatenate(x)) for x in zip(*out, strict=True)]

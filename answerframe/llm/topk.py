@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import longs, map_arrow, partitions_for, pick
+from .common import longs, map_arrow, partitions_for, pick, share
 
 SCALE = 256
 #: Components are held within this; beyond it products would leave 64 bits.
@@ -161,15 +161,15 @@ def top_k(
         for i, (_, scores) in first.items():
             if len(scores) == k:
                 q.floor[i] = scores[-1]
-        shared = spark.sparkContext.broadcast((q, basis))
+        shared = share(spark, (q, basis))
 
-        def run(batches):
-            q, basis = shared.value  # noqa: B023
+        def run(batches, shared=shared):
+            q, basis = shared()
             for batch in batches:
                 got = search_rows(q, batch.column(0).to_numpy(), matrix(batch.column(1), dims), basis, k)
                 lengths = [len(v[0]) for v in got.values()]
                 names = np.repeat(q.ids[list(got)], lengths) if got else np.zeros(0, np.int64)
-                join = lambda j: np.concatenate([v[j] for v in got.values()]) if got else np.zeros(0, np.int64)  # noqa: B023, E731
+                join = lambda j: np.concatenate([v[j] for v in got.values()]) if got else np.zeros(0, np.int64)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([longs(names), longs(join(0)), longs(join(1))], ["query_id", "vec_id", "score"])
 
         part = sorted_.select("id", "x").mapInArrow(run, schema)

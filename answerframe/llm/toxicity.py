@@ -5,8 +5,8 @@ documents are found by counting over the labelled rows in Spark. The ordinal mod
 all grades, and a rising row of thresholds: ``P(grade <= k) = logistic(threshold[k] - w x)``. Scoring returns the expected
 grade. Marks and thresholds have a fixed largest number and are broadcast.
 
-The labels say only whether a document is toxic. Its grade is 0 if it is not; else 1, 2 or 3 by the share of marked words
-among its words (thirds of the toxic documents). Labels that bring grades of their own are used as they are.
+The labels say only whether a document is toxic. Its grade is 0 if it is not; else 1, 2 or 3 by the number of different marked
+words that it holds (thirds of the toxic documents). Labels that bring grades of their own are used as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, bounded_sample, doubles, longs, map_arrow, pick, strings
+from .common import LETTERS, bounded_sample, doubles, longs, map_arrow, pick, share, strings
 
 PREFIXES = range(3, 9)
 #: Labelled documents that marks and weights are learned from, at most about (chosen by the hash of their id).
@@ -28,7 +28,7 @@ MAX_MARKS, MIN_Z, MIN_RATIO = 2_000, 4.5, 4.0
 MIN_TOXIC_DOCS = 4
 GRADES = 3
 #: Ridge penalty on weights, steps and step size of the fit.
-PENALTY, STEPS, RATE = 2e-4, 600, 0.1
+PENALTY, STEPS, RATE = 2e-5, 600, 0.1
 
 
 def word_features(word: str) -> list[str]:
@@ -122,23 +122,22 @@ def find_marks(labelled: DataFrame) -> list[str]:
     return [r["feature"] for r in best.collect()]
 
 
-def mark_finder(marks: dict[str, int]) -> Callable[[str | None], tuple[list[int], int, int]]:
-    """Function of a text: its marks, how many of its words have one, and how many words it has."""
+def mark_finder(marks: dict[str, int]) -> Callable[[str | None], tuple[list[int], int]]:
+    """Function of a text: its marks, and how many different words of it have one."""
     known: dict[str, tuple[int, ...]] = {}
 
-    def find(text: str | None) -> tuple[list[int], int, int]:
+    def find(text: str | None) -> tuple[list[int], int]:
         if len(known) > 300_000:
             known.clear()
-        words = tokens(text)
         found, n = set(), 0
-        for w in words:
+        for w in set(tokens(text)):
             at = known.get(w)
             if at is None:
                 at = known[w] = tuple(marks[f] for f in word_features(w) if f in marks)
             if at:
                 found.update(at)
                 n += 1
-        return sorted(found), n, len(words)
+        return sorted(found), n
 
     return find
 
@@ -166,15 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING) -> Ord
             columns = [
                 pa.array([g[0] for g in got], pa.list_(pa.int32())),
                 longs([g[1] for g in got]),
-                longs([g[2] for g in got]),
                 longs(batch.column(1).to_pylist()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["marks", "n", "words", "given"])
+            yield pa.RecordBatch.from_arrays(columns, ["marks", "n", "given"])
 
     table = rows.select("text", F.col("given").cast("long")).mapInArrow(
-        found, "marks array<int>, n long, words long, given long"
+        found, "marks array<int>, n long, given long"
     )
-    table = table.orderBy("given", "words", "n", "marks").toArrow()
+    table = table.orderBy("given", "n", "marks").toArrow()
     rows.unpersist()
     given = np.asarray(table.column("given"))
     if not marks or not (given > 0).any():
@@ -184,9 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING) -> Ord
     if own_grades:
         grades, top = given, int(given.max())
     else:
-        share = np.asarray(table.column("n")) / np.maximum(1, np.asarray(table.column("words")))
-        cuts = np.quantile(share[given > 0], [k / GRADES for k in range(1, GRADES)])
-        grades, top = np.where(given > 0, 1 + np.searchsorted(cuts, share, "right"), 0), GRADES
+        n = np.asarray(table.column("n"))
+        cuts = np.quantile(n[given > 0], [k / GRADES for k in range(1, GRADES)])
+        grades, top = np.where(given > 0, 1 + np.searchsorted(cuts, n, "right"), 0), GRADES
     weights, thresholds = fit_ordinal(at, lists.flatten().to_numpy(), len(marks), grades, top)
     return OrdinalModel(marks, weights, thresholds)
 
@@ -196,12 +194,12 @@ def predict(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
     A null, empty or wordless text has no feature and gets the base severity. Repeated rows are repeated.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         import pyarrow as pa
 
-        model = shared.value
+        model = shared()
         find = mark_finder(model.marks)
         for batch in batches:
             score = np.array([model.weights[find(t)[0]].sum() for t in batch.column(1).to_pylist()], float)

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -15,14 +16,33 @@ ODD = [
 ]
 
 
-def test_word_tokenizer_equals_whole_texts(some_docs):
+def test_tokenizer_equals_the_library(some_docs):
     texts = ODD + [r.text for r in some_docs.collect()]
     whole = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    cut = packing.WordTokenizer(PATH)
-    assert [x.tolist() for x in cut(texts)] == whole
+    cut = packing.TextTokenizer(PATH)
+    assert cut.fast is not None
     assert [x.tolist() for x in cut(texts)] == whole
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_tokenizer_equals_the_library_on_random_text(seed):
+    rng = random.Random(seed)
+    signs = "abz ABZ \n\t\r'’.,!?-_()09½²éñß漢字😀\u0301\u00ad\x00\x1b\x7f\u200d\ufffd\U000e0001" + "".join(
+        chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(0x10000, 0x1F800)])) for _ in range(30)
+    )
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    whole = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    got = [x.tolist() for x in packing.TextTokenizer(PATH)(texts)]
+    assert [t for t, a, b in zip(texts, got, whole, strict=True) if a != b] == []
+
+
+def test_other_kinds_of_files_use_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cut = packing.TextTokenizer(path)
+    assert cut.fast is None
+    assert [x.tolist() for x in cut(ODD)] == [e.ids for e in Tokenizer.from_file(path).encode_batch(ODD, add_special_tokens=False)]
+
+
 def check(rows, docs, tokens=1024):
     """Each id in exactly one piece, sequences without gaps; returns the padding and all tokens."""
     ids = Tokenizer.from_file(PATH)

@@ -3,7 +3,6 @@ import pytest
 import xxhash
 from answerframe.llm import simhash
 from answerframe.llm.queries import QUERIES
-from conftest import SMALL  # noqa: F401
 
 
 def plain_fingerprint(text):
