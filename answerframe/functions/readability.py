@@ -46,8 +46,6 @@ DRP = {
     "asl_cubed": -0.000005,
 }
 
-MAX_EASY_WORDS = 20_000
-
 
 def basic_counts(c: Column | str) -> Column:
     """``struct<W, C, St, Nc, Nb>`` of a text."""
@@ -68,11 +66,9 @@ def basic_counts(c: Column | str) -> Column:
 def text_counts(c: Column | str, easy_words: Sequence[str]) -> Column:
     """All counts the measures need, as one struct evaluated in one pass per text.
 
-    ``easy_words`` is a word list of fixed size that travels inside the plan as a
-    hash set; its length is checked.
+    ``easy_words`` is a word list that the caller holds in memory; it travels inside the plan as a
+    hash set.
     """
-    if len(easy_words) > MAX_EASY_WORDS:
-        raise ValueError(f"easy-word list has more than {MAX_EASY_WORDS} words")
     text = F.col(c) if isinstance(c, str) else c
     easy = list(easy_words)
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, fits_broadcast
 
-HEAD_TERMS = 10_000
+#: Terms broadcast as the head; any other term holds less than 1/HEAD_TERMS of all cells.
+HEAD_TERMS = 100_000
+#: Cells of one term that a task should get at most.
+TERM_CELLS = 1_000_000
 SALTS = 64
 VOCABULARY_ROWS, VOCABULARY_CHARS = 1_000_000, 32_000_000
 
@@ -21,46 +24,47 @@ def join_vocabulary(cells: DataFrame, vocab: DataFrame, freq_col: str, on: list[
 
     The vocabulary is written to the checkpoint folder once, as it is an aggregate
     over all texts and read several times here. One proven small is broadcast.
-    For a larger one, ``freq_col`` is how many cells an entry matches: at most ``HEAD_TERMS``
-    entries can each hold 1/``HEAD_TERMS`` of all cells, so that head is small
-    whatever the data and is broadcast. Cells it settles are spread by row hash
-    through the second join, which then only sees entries too rare to be hot.
+    ``freq_col`` is how many cells an entry matches.
     """
     vocab = checkpoint(vocab)
     if fits_broadcast(vocab, VOCABULARY_ROWS, VOCABULARY_CHARS):
         return cells.join(F.broadcast(vocab), on).select(*cells.columns, *_others(vocab, on))
-    return _head_tail_join(cells, vocab, freq_col, on)
+    return _head_tail_join(cells, vocab, on)
 
 
 def _others(df: DataFrame, on: list[str]) -> list[str]:
     return [c for c in df.columns if c not in on]
 
 
-def _head_tail_join(
-    cells: DataFrame, vocab: DataFrame, freq_col: str, on: list[str]
-) -> DataFrame:
+def _head_tail_join(cells: DataFrame, vocab: DataFrame, on: list[str]) -> DataFrame:
+    """Settle the hottest terms by a broadcast, shuffle only the cells of the others.
+
+    The head is chosen from the cells themselves, because a pruned vocabulary has lost
+    just the hottest terms: at most ``HEAD_TERMS`` terms can each hold 1/``HEAD_TERMS`` of all
+    cells, kept or not. Cells of head terms are kept or dropped where they are. A term of the tail is cut
+    into as many tasks as its largest possible number of cells asks for.
+    """
     values = _others(vocab, on)
-    total = vocab.agg(F.sum(freq_col)).scalar()
-    is_head = F.col(freq_col) * HEAD_TERMS >= total
-    head = vocab.where(is_head).select(*on, F.struct(*values).alias("_head"))
-    tail = vocab.where(~is_head).select(
-        *[F.col(c).alias(f"_{c}") for c in on],
-        F.lit(0).alias("_spread"),
-        F.struct(*values).alias("_tail"),
-    )
-    tagged = cells.join(F.broadcast(head), on, "left").withColumn(
-        "_spread",
-        F.when(F.col("_head").isNull(), 0).otherwise(
-            1 + F.pmod(F.xxhash64(*cells.columns), F.lit(1_000_000)).cast("int")
-        ),
-    )
-    condition = [tagged[c] == tail[f"_{c}"] for c in on]
-    condition.append(tagged["_spread"] == tail["_spread"])
-    found = F.coalesce("_head", "_tail")
-    return (
-        tagged.join(tail, condition, "left")
-        .where(found.isNotNull())
-        .select(*cells.columns, *[found[v].alias(v) for v in values])
+    counts = checkpoint(cells.groupBy(*on).agg(F.count("*").alias("_cells")))
+    total = counts.agg(F.coalesce(F.sum("_cells"), F.lit(0))).scalar()
+    hot = counts.where(F.col("_cells") * HEAD_TERMS >= total).select(*on)
+    entry = vocab.select(*on, F.struct(*values).alias("_entry"))
+    head = checkpoint(hot.join(entry, on, "left"))
+    settled = cells.join(F.broadcast(head), on).where(F.col("_entry").isNotNull())
+    settled = settled.select(*cells.columns, *[F.col("_entry")[v].alias(v) for v in values])
+    most = counts.agg(F.coalesce(F.sum("_cells"), F.lit(0))).first()[0] // HEAD_TERMS
+    salts = 1 + int(most // TERM_CELLS)
+    tail = cells.join(F.broadcast(head.select(*on)), on, "left_anti")
+    rest = entry.join(F.broadcast(head.select(*on)), on, "left_anti")
+    keys = on
+    if salts > 1:
+        keys = [*on, "_salt"]
+        tail = tail.withColumn("_salt", F.pmod(F.xxhash64(*cells.columns), F.lit(salts)))
+        each = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+        rest = rest.withColumn("_salt", F.explode(each))
+    found = tail.join(rest, keys)
+    return settled.unionByName(
+        found.select(*cells.columns, *[F.col("_entry")[v].alias(v) for v in values])
     )
 
 

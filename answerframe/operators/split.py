@@ -4,37 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def part(df: DataFrame, *labels: str, column: str = "Dataset") -> DataFrame:
     """Rows of one split label or of several."""
     return df.where(F.col(column) == labels[0] if len(labels) == 1 else F.col(column).isin(*labels))
 
 
-def positions(df: DataFrame, order: Sequence[str], buckets: int = 256) -> DataFrame:
-    """Add ``position``, the 0-based rank of a row under ``order`` (a total order).
+def positions(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Add ``position``, the 0-based rank of a row under ``order``.
 
-    ``order[0]`` is numeric and close to unique. Quantile buckets of it are
-    ranked one by one and shifted by the sizes of the buckets before, so there
-    is no window over all rows; only the ``buckets`` sizes meet in one place.
+    Rows are range-partitioned and sorted by the whole order, nulls first, and written to the
+    checkpoint folder. A row's position is its place in its partition plus the sizes of the partitions before;
+    only these sizes meet in one place. The partitions grow with the input. Rows equal in all of
+    ``order`` get neighbouring positions.
     """
-    first = order[0]
-    sortable = df.withColumn("_key", F.col(first).cast("double"))
-    cutter = QuantileDiscretizer(numBuckets=buckets, inputCol="_key", outputCol="_bucket")
-    placed = cutter.fit(sortable.select("_key")).transform(sortable)
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    conf = df.sparkSession.conf
+    parts = partitions or max(
+        df.rdd.getNumPartitions(), int(conf.get("spark.sql.shuffle.partitions"))
+    )
+    placed = checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    numbered = placed.withColumn("_at", F.monotonically_increasing_id())
+    numbered = numbered.withColumns(
+        {"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}
+    )
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy("_bucket").orderBy(*order)
     return (
-        placed.join(F.broadcast(starts), "_bucket")
-        .withColumn("position", F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_key", "_bucket", "_start")
+        numbered.join(F.broadcast(starts), "_part")
+        .withColumn("position", F.col("_start") + F.col("_at"))
+        .drop("_part", "_at", "_start")
     )
 
 

@@ -185,7 +185,7 @@ def number_terms(
     Terms fall into hash buckets; a bucket's start is the running total of the
     bucket sizes (at most ``buckets`` rows), and terms are numbered inside it.
     """
-    vocab = checkpoint(vocab)
+    vocab = checkpoint(vocab)  # read twice below
     hashed = vocab.withColumn("_bucket", F.pmod(F.xxhash64(*by, "term"), F.lit(buckets)))
     sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

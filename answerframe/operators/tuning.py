@@ -49,6 +49,7 @@ class Linear:
         names = {"ridge": ["alpha"], "elastic": ["alpha", "l1_ratio", "max_iter"]}[kind]
         self.parameters = frozenset(names)
         self.required = {"ridge": {"alpha"}, "elastic": {"alpha", "l1_ratio"}}[kind]
+        self._sums: tuple | None = None
 
     def candidates(self, grid):
         if not self.required <= set(grid):
@@ -57,10 +58,16 @@ class Linear:
 
     def fold_scores(self, train, features, targets, candidates):
         m = moments(train, features, targets)
+        self._sums = (train, features, m)
         return [tuple(r) for r in cv_scores(train, m, candidates).collect()]
 
     def fit_predict(self, train, holdout, features, target, params):
-        m = moments(train.withColumn("fold", F.lit(0)), features, [target])
+        """Refit on all rows: the fold sums' total, if the folds were scored before."""
+        held = self._sums
+        if held and held[0] is train and held[1] == features and target in held[2].targets:
+            m = held[2]
+        else:
+            m = moments(train.withColumn("fold", F.lit(0)), features, [target])
         weights = solve(m, None, [params])[0]
         return holdout.withColumn("pred", linear_prediction(m, weights, features, target))
 
@@ -124,6 +131,7 @@ FOREST_NAMES = {
     "max_samples": "subsamplingRate",
 }
 # Accepted in a grid, without a counterpart: reported with the result, never searched.
+# Depths over the limit are reported there too.
 FOREST_IGNORED = [
     "criterion", "min_samples_split", "max_leaf_nodes", "min_impurity_split", "oob_score",
     "n_jobs", "random_state", "verbose", "warm_start", "ccp_alpha",
@@ -145,7 +153,10 @@ class Forest(SparkRegressor):
         )
 
     def candidates(self, grid):
-        self.ignored = {k: list(v) for k, v in grid.items() if k in FOREST_IGNORED and len(v) > 1}
+        self.ignored = {k: list(v) for k, v in grid.items() if k in FOREST_IGNORED}
+        deep = [d for d in grid.get("max_depth", []) if d is None or d > MAX_DEPTH]
+        if deep:
+            self.ignored["max_depth"] = deep  # searched as MAX_DEPTH
         kept = {k: v for k, v in grid.items() if k in FOREST_NAMES}
         out = []
         for c in expand(kept):

@@ -20,6 +20,7 @@ from ..operators import split as sp
 from ..operators import terms as tm
 from ..operators.metrics import feature_target_corr as correlate
 from ..operators.metrics import safe_corr
+from ..session import checkpoint
 from ..sources.tables import submission
 from . import wordlists as wl
 from .features import Lists, build_features, document_terms
@@ -146,25 +147,29 @@ def keep_pruned_terms(spark, sf):
     return tm.keep_vocabulary(cells, kept).select("doc_id", "term", "n")
 
 
+def cells_of(rows, vocab, id_col, prefix="", by=()):
+    """Sparse rows back as (id, by…, term, value), through the vocabulary's numbers."""
+    pairs = F.arrays_zip(F.col(f"{prefix}indices").alias("term_index"), F.col(f"{prefix}values").alias("value"))
+    long = rows.select(id_col, F.inline(pairs))
+    return long.join(vocab.select("term_index", *by, "term"), "term_index").drop("term_index")
+
+
 @query
 def dtm_sparse(spark, sf):
+    """Document-term vectors of the pruned vocabulary, read back from the sparse rows."""
     docs = documents(spark, sf)
     cells = tm.word_counts(docs, "doc_id", "text")
-    vocab = tm.number_terms(tm.prune_vocabulary(tm.vocabulary(cells), docs))
-    rows = tm.sparse_rows(cells, vocab, "doc_id")
-    add = lambda a, x: a + x
-    return rows.select(
-        "doc_id",
-        F.size("indices").alias("nnz"),
-        F.size(F.array_distinct("indices")).alias("n_indices"),
-        F.aggregate("values", F.lit(0.0), add).alias("total"),
-        F.aggregate(F.transform("values", lambda x: x * x), F.lit(0.0), add).alias("sum_sq"),
-    )
+    vocab = checkpoint(tm.number_terms(tm.prune_vocabulary(tm.vocabulary(cells), docs)))
+    return cells_of(tm.sparse_rows(cells, vocab, "doc_id"), vocab, "doc_id")
 
 
 @query
 def dtm_wide(spark, sf):
-    return tm.wide_counts(documents(spark, sf), "doc_id", words("text"), wl.WIDE_TERMS, "all_")
+    """One column for each of the fifty terms of the pruned vocabulary that most documents have."""
+    docs = documents(spark, sf)
+    vocab = tm.prune_vocabulary(tm.vocabulary(tm.word_counts(docs, "doc_id", "text")), docs)
+    top = vocab.orderBy(F.col("doc_count").desc(), "term").limit(50).collect()
+    return tm.wide_counts(docs, "doc_id", words("text"), [r["term"] for r in top], "all_")
 
 
 @query
@@ -389,11 +394,24 @@ def split_filter(spark, sf):
 
 @query
 def split_by_position(spark, sf):
-    """File-order thirds of the documents: the slice form of the split."""
+    """Every document's place in file order."""
     docs = read(spark, sf, "documents").select("doc_id")
     return sp.positions(docs, ["doc_id"])
 
 
+@query
+def split_slices(spark, sf):
+    """The slice form of the split: the first 60 % of the documents, the next 20 %, the rest."""
+    docs = read(spark, sf, "documents").select("doc_id")
+    n = docs.count()
+    ends = [0, n * 3 // 5, n * 4 // 5, n]
+    parts = [
+        sp.row_range(docs, ["doc_id"], a, b).withColumn("Dataset", F.lit(name))
+        for name, a, b in zip(["Train", "Dev", "Test"], ends, ends[1:], strict=False)
+    ]
+    return cl.stack(*parts)
+
+
 @query
 def kfold_contiguous(spark, sf):
     return sp.contiguous_folds(read(spark, sf, "documents").select("doc_id"), ["doc_id"], 7)
@@ -428,12 +446,8 @@ def assemble_features(spark, sf):
 def dtm_by_field(spark, sf):
     """Sparse counts of all six texts, each field with its own pruned vocabulary."""
     df = answers(spark, sf).withColumn("all_text", tx.concat_skip_null(*ANSWERS))
-    rows, _ = document_terms(df, "respondent_id", [*ANSWERS, "all_text"])
-    return rows.select(
-        "respondent_id",
-        F.size("dtm_indices").alias("nnz"),
-        F.aggregate("dtm_values", F.lit(0.0), lambda a, x: a + x).alias("total"),
-    )
+    rows, vocab = document_terms(df, "respondent_id", [*ANSWERS, "all_text"])
+    return cells_of(rows, vocab, "respondent_id", "dtm_", ["field"])
 
 
 @query

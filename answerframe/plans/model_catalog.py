@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import readability as rd
+from ..functions.text import ANSWERS, concat_skip_null
 from ..functions.tokens import ngrams, terms2, without, words
+from ..operators import diversity as dv
 from ..operators import metrics
 from ..operators import split as sp
 from ..operators import topics as tp
@@ -12,10 +15,12 @@ from ..operators import vectors as vc
 from ..operators.grids import expand, linspace_ints
 from ..operators.linear_grid import cv_scores, moments
 from ..operators.tuning import Forest, GridSearch, Linear, TextGridSearch
+from ..session import checkpoint
+from ..sources.tables import TARGETS
 from . import wordlists as wl
-from .catalog import query, rounded
-from .stand_ins import documents, labelled_split, read
-from .tuning_run import ALPHAS, L1_RATIOS
+from .catalog import query
+from .stand_ins import answers, documents, labelled_split, read
+from .tuning_run import ALPHAS, GRIDS, L1_RATIOS, hold_out_table, run
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_FEATURES = ["l_quantity", "l_discount"]
@@ -52,9 +57,9 @@ def ridge_grid(spark, sf):
     return means.select("alpha", "target", F.round("cv_r2", 7).alias("cv_r2"), relative("cv_neg_mse"))
 
 
-def relative(name):
+def relative(name, digits=7):
     """Ten significant digits are plenty for a sum of squares of any size."""
-    return F.round(F.log(-F.col(name)), 7).alias("cv_log_mse")
+    return F.round(F.log(-F.col(name)), digits).alias("cv_log_mse")
 
 
 @query
@@ -63,7 +68,10 @@ def elastic_grid(spark, sf):
     df = line_folds(spark, sf)
     grid = expand({"alpha": ALPHAS, "l1_ratio": L1_RATIOS})
     scores = cv_scores(df, moments(df, LINE_FEATURES, LINE_TARGETS), grid)
-    return rounded(grid_means(scores, grid, ["alpha", "l1_ratio"]))
+    means = grid_means(scores, grid, ["alpha", "l1_ratio"])
+    return means.select(
+        "alpha", "l1_ratio", "target", F.round("cv_r2", 6).alias("cv_r2"), relative("cv_neg_mse", 6)
+    )
 
 
 @query
@@ -186,24 +194,76 @@ def svd_features(spark, sf):
 
 @query
 def doc_vectors(spark, sf):
-    return vc.word_vectors(documents(spark, sf), "doc_id", words("text"), size=16, epochs=2)
+    """Mean word vectors after ten epochs; words of fewer than five occurrences have none."""
+    return vc.word_vectors(
+        documents(spark, sf), "doc_id", words("text"), size=16, epochs=10, min_count=5
+    )
 
 
-def topic_vectors(spark, sf, n_max=1):
-    tokens = ngrams(without(words("text"), wl.STOPWORDS), 1, n_max)
-    return tp.count_vectors(documents(spark, sf), ["doc_id"], tokens)
+def topic_tokens(text):
+    return ngrams(without(words(text), wl.STOPWORDS), 1, 5)
 
 
 @query
 def lda_topics(spark, sf):
-    vectors, _ = topic_vectors(spark, sf)
-    vectors = vectors.persist()
-    model = tp.fit_topics(vectors, 5, iterations=5)
-    return tp.topic_columns(model, vectors, "doc_id", "all_text")
+    """Topics of all six texts, with the published numbers of topics: 260 columns.
+
+    Shown per respondent and text: how many shares it has, how many are null, and their sum (0 for a text
+    without a term that occurs in two texts).
+    """
+    df = answers(spark, sf).withColumn("all_text", concat_skip_null(*ANSWERS)).persist()
+    parts = []
+    for field, k in tp.TOPICS.items():
+        vectors, _ = tp.count_vectors(df, ["respondent_id"], topic_tokens(F.coalesce(field, F.lit(""))))
+        vectors = vectors.persist()
+        columns = tp.topic_columns(tp.fit_topics(vectors, k, iterations=5), vectors, "respondent_id", field)
+        shares = F.array(*[c for c in columns.columns if c.startswith("topic_")])
+        parts.append(
+            columns.select(
+                "respondent_id",
+                F.lit(field).alias("field"),
+                F.size(shares).alias("n_topics"),
+                F.size(F.filter(shares, lambda x: x.isNull())).alias("n_null"),
+                F.round(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+            )
+        )
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query
 def choose_k(spark, sf):
-    vectors, _ = topic_vectors(spark, sf)
-    return tp.choose_k(vectors, [2, 3, 5], iterations=3)
+    """Every number of topics from 2 to 75 on the first answer."""
+    df = answers(spark, sf).select("respondent_id", F.coalesce("open_ended_1", F.lit("")).alias("text"))
+    vectors, _ = tp.count_vectors(df, ["respondent_id"], topic_tokens("text"))
+    return tp.choose_k(vectors, iterations=3)
+
+
+def tuning_features(spark, sf):
+    """Readability counts of the labelled documents, five targets and the split label."""
+    docs = labelled_documents(spark, sf)
+    counts = rd.readability(docs, "doc_id", "text", wl.EASY_WORDS, measures={}, counts=True)
+    diversity = dv.lexical_diversity(docs, "doc_id", "text")
+    names = dict(zip(["lex_div_R", "lex_div_C", "lex_div_D"], ["O", "C", "N"], strict=True))
+    targets = diversity.select(
+        "doc_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"{t}_Scale_score") for c, t in names.items()]
+    )
+    labels = docs.select(
+        "doc_id", "Dataset", F.col("quality").alias("E_Scale_score"), F.col("toxic").alias("A_Scale_score")
+    )
+    return labels.join(counts, "doc_id").join(targets, "doc_id")
 
+
+@query
+def tuning_run(spark, sf):
+    """Stored features to hold-out results: both linear grids, both scorings, five targets, one shared candidate."""
+    grids = {name: GRIDS[name] for name in ("ridge", "elastic")}
+    return run(checkpoint(tuning_features(spark, sf)), "doc_id", grids)
+
+
+@query
+def hold_out_correlations(spark, sf):
+    """The tuning run as the table of one row per model and scoring."""
+    return hold_out_table(tuning_run(spark, sf), TARGETS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import readability as rd
 from ..functions import stem as st
 from ..functions.text import ANSWERS
+from ..operators.topics import TOPICS
 from . import wordlists as wl
 from .tuning_run import ALPHAS, L1_RATIOS
 from .stand_ins import DEV_SOURCES, TEST_SOURCES
@@ -110,14 +111,13 @@ WITH {CELLS}, {VOCAB}, {_PRUNED}
 SELECT doc_id, term, n FROM cells WHERE term IN (SELECT term FROM pruned)"""
 ORACLE["dtm_sparse"] = f"""
 WITH {CELLS}, {VOCAB}, {_PRUNED}
-SELECT doc_id, CAST(count(*) AS INTEGER) AS nnz, CAST(count(DISTINCT term) AS INTEGER) AS n_indices,
-  sum(n)::DOUBLE AS total, sum(n * n)::DOUBLE AS sum_sq
-FROM cells JOIN pruned USING (term) GROUP BY doc_id"""
-_wide = ", ".join(
-    f"CAST(coalesce(sum(n) FILTER (term = '{t}'), 0) AS BIGINT) AS \"all_{t}\"" for t in wl.WIDE_TERMS
-)
+SELECT doc_id, term, n::DOUBLE AS value FROM cells JOIN pruned USING (term)"""
 ORACLE["dtm_wide"] = f"""
-WITH {CELLS} SELECT d.doc_id, {_wide} FROM documents d LEFT JOIN cells c USING (doc_id) GROUP BY d.doc_id"""
+WITH {CELLS}, {VOCAB}, {_PRUNED},
+top AS (SELECT term FROM pruned ORDER BY doc_count DESC, term LIMIT 50),
+full_rows AS (SELECT d.doc_id, 'all_' || t.term AS name, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+  FROM documents d CROSS JOIN top t LEFT JOIN cells c ON c.doc_id = d.doc_id AND c.term = t.term)
+PIVOT full_rows ON name USING first(n) GROUP BY doc_id"""
 ORACLE["tfidf_log10"] = f"""
 WITH {CELLS}, {VOCAB}
 SELECT doc_id, term, n, round(n * log10((SELECT count(*) FROM documents)::DOUBLE / doc_count) + 1e-9, 6) AS weight
@@ -483,6 +483,9 @@ ORACLE["split_filter"] = f'SELECT {_LABEL} AS "Dataset", lang, count(*) AS n FRO
 ORACLE["split_by_position"] = (
     "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents"
 )
+ORACLE["split_slices"] = """
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN p < n * 3 // 5 THEN 'Train' WHEN p < n * 4 // 5 THEN 'Dev' ELSE 'Test' END AS "Dataset" FROM p"""
 ORACLE["kfold_contiguous"] = (
     "SELECT doc_id, CAST(ntile(7) OVER (ORDER BY doc_id) - 1 AS INTEGER) AS fold FROM documents"
 )
@@ -536,6 +539,34 @@ e AS (SELECT target, alpha, n, syy - sy * sy / n AS sst,
 SELECT alpha, target, round(sum(n * (1 - sse / sst)) / sum(n), 7) AS cv_r2,
   round(ln(sum(sse) / sum(n)), 7) AS cv_log_mse FROM e GROUP BY alpha, target"""
 
+# Two features: of the nine sign patterns' solutions, those with the pattern's signs are kept; the one with the
+# smallest objective is the optimum.
+_both = " UNION ALL ".join(
+    f"""SELECT *, ((gbb + l2) * (ba - {i} * l1) - gab * (bb - {j} * l1)) / ((gaa + l2) * (gbb + l2) - gab * gab) AS wa,
+  ((gaa + l2) * (bb - {j} * l1) - gab * (ba - {i} * l1)) / ((gaa + l2) * (gbb + l2) - gab * gab) AS wb,
+  {i} AS ia, {j} AS ib FROM h"""
+    for i in (-1, 1)
+    for j in (-1, 1)
+)
+_head = ORACLE["ridge_grid"].split("\ng AS (SELECT")[0]
+_tail = ORACLE["ridge_grid"].split("\nd AS (SELECT")[1].split("SELECT alpha, target, round")[0]
+ORACLE["elastic_grid"] = f"""{_head}
+g AS (SELECT *, caa / tn AS gaa, cab / tn AS gab, cbb / tn AS gbb, cay / tn AS ba, cby / tn AS bb,
+  alpha * l1_ratio AS l1, alpha * (1 - l1_ratio) AS l2
+  FROM c CROSS JOIN {values([(a, r) for a in ALPHAS for r in L1_RATIOS], ['alpha', 'l1_ratio'])}),
+h AS (SELECT * FROM g),
+tried AS (SELECT *, 0.0 AS wa, 0.0 AS wb, 0 AS ia, 0 AS ib FROM h
+  UNION ALL SELECT *, sign(ba) * greatest(abs(ba) - l1, 0) / (gaa + l2), 0.0, 0, 0 FROM h
+  UNION ALL SELECT *, 0.0, sign(bb) * greatest(abs(bb) - l1, 0) / (gbb + l2), 0, 0 FROM h
+  UNION ALL {_both}),
+w AS (SELECT * FROM tried WHERE (ia = 0 AND ib = 0) OR l1 = 0 OR (sign(wa) = ia AND sign(wb) = ib)
+  QUALIFY row_number() OVER (PARTITION BY target, fold, alpha, l1_ratio ORDER BY
+    0.5 * (gaa * wa * wa + 2 * gab * wa * wb + gbb * wb * wb) - ba * wa - bb * wb
+    + l1 * (abs(wa) + abs(wb)) + 0.5 * l2 * (wa * wa + wb * wb)) = 1),
+d AS (SELECT{_tail.replace("SELECT target, alpha,", "SELECT target, alpha, l1_ratio,")}
+SELECT alpha, l1_ratio, target, round(sum(n * (1 - sse / sst)) / sum(n), 6) AS cv_r2,
+  round(ln(sum(sse) / sum(n)), 6) AS cv_log_mse FROM e GROUP BY alpha, l1_ratio, target"""
+
 # One feature: the elastic net is a soft threshold.
 ORACLE["elastic_one_feature"] = f"""
 WITH folded AS (SELECT *, ntile(10) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS fold
@@ -573,8 +604,23 @@ cells AS (SELECT respondent_id, field, term, count(*) AS n FROM
   (SELECT respondent_id, field, unnest({words('text')}) AS term FROM texts) AS t GROUP BY ALL),
 vocab AS (SELECT field, term FROM cells GROUP BY field, term
   HAVING sum(n) >= 25 AND count(*)::DOUBLE / (SELECT count(*) FROM answers) <= 0.9)
-SELECT respondent_id, CAST(count(*) AS INTEGER) AS nnz, sum(n)::DOUBLE AS total
-FROM cells JOIN vocab USING (field, term) GROUP BY respondent_id"""
+SELECT respondent_id, field, term, n::DOUBLE AS value FROM cells JOIN vocab USING (field, term)"""
+
+# A text's topic shares sum to one if one of its words is in the vocabulary; an n-gram in two texts has all
+# its words there.
+_TOPIC_FIELDS = " UNION ALL ".join(
+    f"SELECT respondent_id, '{f}' AS field, {k} AS n_topics, coalesce({f}, '') AS text FROM six" for f, k in TOPICS.items()
+)
+ORACLE["lda_topics"] = f"""
+WITH {ANSWERS_CTE}, six AS (SELECT *, concat_ws(' ', {', '.join(ANSWERS)}) AS all_text FROM answers),
+texts AS ({_TOPIC_FIELDS}),
+found AS (SELECT DISTINCT respondent_id, field, term FROM
+  (SELECT respondent_id, field, unnest({words('text')}) AS term FROM texts) AS t WHERE term NOT IN {word_list(wl.STOPWORDS)}),
+vocab AS (SELECT field, term FROM found GROUP BY field, term HAVING count(*) >= 2),
+seen AS (SELECT DISTINCT respondent_id, field FROM found JOIN vocab USING (field, term))
+SELECT t.respondent_id, t.field, CAST(t.n_topics AS INTEGER) AS n_topics, 0 AS n_null,
+  CASE WHEN s.field IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total
+FROM texts t LEFT JOIN seen s USING (respondent_id, field)"""
 
 # The wide table joins the single-family results. The concatenated text takes the
 # place of the documents inside the families that read those.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,12 +76,17 @@ def read_features(
 
 
 def write_features(df: DataFrame, path: str, format: str = "parquet") -> None:
-    """Write a feature table. CSV keeps null and empty text apart and drops array columns."""
+    """Write a feature table. CSV keeps null and empty text apart and holds nested values as JSON."""
     if format == "parquet":
         df.write.parquet(path)
         return
-    flat = [c for c, kind in df.dtypes if not kind.startswith(("array", "struct", "map", "vector"))]
-    df.select(*flat).write.csv(path, quoteAll=True, **QUOTING, **EXACT)
+    columns = [
+        F.to_json(vector_to_array(c) if kind == "vector" else F.col(c)).alias(c)
+        if kind.startswith(("array", "struct", "map", "vector"))
+        else F.col(c)
+        for c, kind in df.dtypes
+    ]
+    df.select(*columns).write.csv(path, quoteAll=True, **QUOTING, **EXACT)
 
 
 def submission(template: DataFrame, predictions: DataFrame) -> DataFrame:

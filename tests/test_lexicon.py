@@ -110,6 +110,25 @@ def test_vocabulary_join_is_a_plain_join(spark, monkeypatch, head):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+@pytest.mark.parametrize("term_cells", [1, 1_000_000])
+def test_pruned_hot_term_is_dropped_before_the_shuffle(spark, monkeypatch, term_cells):
+    """The hottest term is not in the vocabulary: its cells must not meet in one task."""
+    monkeypatch.setattr(joins, "HEAD_TERMS", 3)
+    monkeypatch.setattr(joins, "VOCABULARY_ROWS", 0)
+    monkeypatch.setattr(joins, "TERM_CELLS", term_cells)
+    cells = skewed_cells(spark)
+    vocab = cells.groupBy("term").agg(F.count("*").alias("df")).where("term <> 'the'")
+    got = joins.join_vocabulary(cells, vocab, "df", ["term"])
+    want = cells.join(vocab, "term").select("doc", "term", "n", "df")
+    assert sorted(got.select("doc", "term", "n", "df").collect()) == sorted(want.collect())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [len(p) for p in got.rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) <= 60  # 200 cells are left
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_anti", "left_semi"])
 def test_salted_lookup_is_a_plain_join(spark, monkeypatch, how):
     cells = skewed_cells(spark)

@@ -46,6 +46,15 @@ def test_folds_are_contiguous(spark):
     assert sorted(r.id for r in sp.row_range(df, ["id"], 3, 6).collect()) == [3, 4, 5]
 
 
+def test_positions_with_ties_and_nulls(spark):
+    rows = [(None, i) for i in range(40)] + [(1, i) for i in range(300)] + [(i, 0) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(5)
+    got = sp.positions(df, ["a", "b"], 7).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(len(rows)))
+    assert [(r.a, r.b) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+
 def test_native_and_array_moments_agree(rows):
     m = lg.moments(rows, ["a", "b", "c"], ["y", "z"])
     n = lg.moments(rows, "v", ["y", "z"])
@@ -118,7 +127,10 @@ def test_forest_candidates_collapse():
     forest = tn.Forest()
     got = forest.candidates(tuning_run.GRIDS["forest"])
     assert len(got) == 360 and {c["maxDepth"] for c in got} == {10, 20, 30}
-    assert forest.ignored == {"min_samples_split": [2, 3, 4, 5, 6, 10, 12]}
+    assert forest.ignored == {
+        "min_samples_split": [2, 3, 4, 5, 6, 10, 12],
+        "max_depth": [40, 50, 60, 70, 80, 90, 100, 110, None],
+    }
 
 
 def test_pick_weights_folds_and_breaks_ties():

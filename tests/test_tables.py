@@ -36,6 +36,8 @@ def test_features_round_trip(spark, tmp_path):
     back = tb.read_features(spark, str(tmp_path / "c"), ["id", "t", "x"], "csv")
     want = {1: (HARD, 0.5), 2: ("", None), 3: (None, 1.5)}
     assert {r.id: (r.t, r.x) for r in back.collect()} == want
+    nested = tb.read_features(spark, str(tmp_path / "c"), ["id", "v"], "csv")
+    assert {r.id: r.v for r in nested.collect()} == {1: "[1.0]", 2: "[2.0]", 3: "[3.0]"}
 
 
 def test_questions_and_submission(spark, tmp_path):
