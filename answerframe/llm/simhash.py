@@ -242,7 +242,8 @@ def links(distinct: DataFrame) -> DataFrame:
     dealt = map_arrow(members, deal, "fp long, shard long, low long, high long, own long")
     group = ["shard", "low", "high"]
     n_parts = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    sorted_ = dealt.repartition(n_parts, *group).sortWithinPartitions(*group)
+    # sorted through, so that a task that is run again finds the same forest
+    sorted_ = dealt.repartition(n_parts, *group).sortWithinPartitions(*group, "fp")
 
     def compare(batches):
         def found(parts):
