@@ -21,7 +21,7 @@ from ..operators import terms as tm
 from ..operators.metrics import feature_target_corr as correlate
 from ..operators.metrics import safe_corr
 from ..session import checkpoint
-from ..sources.tables import submission
+from ..sources.tables import EXACT, QUOTING, submission
 from . import wordlists as wl
 from .features import Lists, build_features, document_terms
 from .stand_ins import answers, documents, labelled_split, read
@@ -384,6 +384,16 @@ def submission_layout(spark, sf):
     return submission(template, long)
 
 
+@query
+def csv_round_trip(spark, sf):
+    """Texts written as quoted CSV records and read back: quotes, line breaks, null and empty text survive."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    options = {k: v for k, v in {**QUOTING, **EXACT, "quoteAll": "true"}.items() if k != "header"}
+    written = turns.select(F.to_csv(F.struct("*"), options).alias("record"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in turns.dtypes)
+    return written.select(F.inline(F.array(F.from_csv("record", schema, options))))
+
+
 @query
 def split_filter(spark, sf):
     docs = labelled_split(read(spark, sf, "documents"))

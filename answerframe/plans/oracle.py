@@ -483,6 +483,7 @@ ORACLE["split_filter"] = f'SELECT {_LABEL} AS "Dataset", lang, count(*) AS n FRO
 ORACLE["split_by_position"] = (
     "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents"
 )
+ORACLE["csv_round_trip"] = "SELECT conv_id, turn, role, text FROM conversations"
 ORACLE["split_slices"] = """
 WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents)
 SELECT doc_id, CASE WHEN p < n * 3 // 5 THEN 'Train' WHEN p < n * 4 // 5 THEN 'Dev' ELSE 'Test' END AS "Dataset" FROM p"""

@@ -267,3 +267,15 @@ def test_tuning_run_end_to_end(rows):
     assert out.count() == 2 * 2 * 2
     table = tuning_run.hold_out_table(out, ["E_Scale_score", "N_Scale_score"])
     assert table.count() == 4 and "E_Scale_score" in table.columns
+
+
+@pytest.mark.parametrize("shard_rows", [40, 4096])
+def test_heads_do_not_depend_on_partitions(spark, monkeypatch, shard_rows):
+    monkeypatch.setattr(vc, "SHARD_ROWS", shard_rows)
+    rng = np.random.default_rng(4)
+    data = [(i % 3, [float(v) for v in rng.normal(size=4)], float(i % 5)) for i in range(150)]
+    rows = spark.createDataFrame(data, "fold int, x array<double>, y double")
+    head = vc.Head(4, 3, 0.2)
+    one, many = (vc.train_heads(rows.repartition(n), head, [10], [2]) for n in (2, 9))
+    assert one.keys() == many.keys()
+    assert all(np.allclose(one[k], many[k], atol=1e-9) for k in one)
