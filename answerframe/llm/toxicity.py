@@ -145,12 +145,15 @@ def mark_finder(marks: dict[str, int]) -> Callable[[str | None], tuple[list[int]
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING) -> OrdinalModel:
     """Learn from ``docs`` (``doc_id, text``) joined with ``labels`` (``doc_id``, ``toxic`` and perhaps ``grade``).
 
-    Rows without a label, id or text don't count. Without a toxic row or a mark the model gives grade 0 to everything.
+    Rows without a label, id or text don't count; an id counts once, with its highest label and first text. Without a toxic row or a mark the model gives grade 0 to everything.
     """
     own_grades = "grade" in labels.columns
     named = pick(labels, "doc_id", *(["grade"] if own_grades else ["toxic"])).toDF("doc_id", "given")
-    chosen = bounded_sample(named.where("doc_id IS NOT NULL AND given IS NOT NULL"), "doc_id", max_rows)
-    rows = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id")
+    named = named.where("doc_id IS NOT NULL AND given IS NOT NULL").groupBy("doc_id").agg(F.max("given").alias("given"))
+    chosen = bounded_sample(named, "doc_id", max_rows)
+    # the sample's bound makes it small enough to be sent to the texts
+    rows = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "given").agg(F.min("text").alias("text"))  # an id that repeats counts once
     rows = rows.select("doc_id", "text", "given", (F.col("given") > 0).alias("toxic")).cache()
     names = find_marks(rows)
     marks = {name: i for i, name in enumerate(names)}
@@ -165,14 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING) -> Ord
             columns = [
                 pa.array([g[0] for g in got], pa.list_(pa.int32())),
                 longs([g[1] for g in got]),
-                longs(batch.column(1).to_pylist()),
+                batch.column(1),
+                batch.column(2),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["marks", "n", "given"])
+            yield pa.RecordBatch.from_arrays(columns, ["marks", "n", "given", "doc_id"])
 
-    table = rows.select("text", F.col("given").cast("long")).mapInArrow(
-        found, "marks array<int>, n long, given long"
+    table = rows.select("text", F.col("given").cast("long").alias("given"), "doc_id").mapInArrow(
+        found, "marks array<int>, n long, given long, doc_id long"
     )
-    table = table.orderBy("given", "n", "marks").toArrow()
+    table = table.toArrow().sort_by([("doc_id", "ascending"), ("n", "ascending")])
     rows.unpersist()
     given = np.asarray(table.column("given"))
     if not marks or not (given > 0).any():
