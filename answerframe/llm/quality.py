@@ -215,7 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "at", "value", "meta"])
 
-    joined = rows.join(asked, "doc_id").select("doc_id", "text", "lang", "source", "y")
+    # the sample's bounds make it small enough to be sent to the texts
+    joined = rows.join(F.broadcast(asked), "doc_id")
+    # an id that repeats counts once
+    joined = joined.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("r"))
+    joined = joined.select("doc_id", "r.text", "r.lang", "r.source", "y")
     table = joined.mapInArrow(views, "doc_id long, y int, at array<int>, value array<float>, meta array<int>").toArrow()
     table = table.take(np.lexsort((np.asarray(table.column("y")), np.asarray(table.column("doc_id")))))
     y = np.asarray(table.column("y"))
