@@ -39,15 +39,23 @@ LOOK_AHEAD = r"\s+(?!\S)|"
 TWO_BLANKS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 #: Blanks that regular-expression engines do not agree on.
 ODD_BLANKS = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Blanks in a row from which on a text goes through the library: ``tiktoken`` gives up on runs of about a million.
+LONG_RUN = 100_000
+BLANKS = re.compile(r"[ \t\n\r]+")
 TASK_BITS = 40
 
 
+def has_long_run(text: str) -> bool:
+    """Whether ``LONG_RUN`` blanks meet; looks at each run once."""
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in BLANKS.finditer(text))
+
+
 class TextTokenizer:
     """Token ids of whole texts under a byte-level BPE file of the ``tokenizers`` library.
 
     The file's vocabulary and merges are handed to the faster merge loop of ``tiktoken``, which gives the same ids if
-    merges are numbered in their order. Texts with a special token's string or an unusual blank, and all texts of a
-    file of another kind, go through ``tokenizers`` itself.
+    merges are numbered in their order. Texts with a special token's string, an unusual blank or a very long run of
+    blanks, and all texts of a file of another kind, go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
@@ -63,8 +71,9 @@ class TextTokenizer:
         if self.fast is None or ODD_BLANKS.search(text) or any(s in text for s in self.special):
             return None
         single, general = self.fast
-        apart = not any(pair in text for pair in TWO_BLANKS) and text.strip() == text
-        return single if apart else general
+        if not any(pair in text for pair in TWO_BLANKS) and text.strip() == text:
+            return single
+        return None if has_long_run(text) else general
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         loops = [self._loop(t) for t in texts]

@@ -36,6 +36,14 @@ def test_tokenizer_equals_the_library_on_random_text(seed):
     assert [t for t, a, b in zip(texts, got, whole, strict=True) if a != b] == []
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \t\r\n"])
+def test_very_long_runs_of_blanks(blank):
+    n = 2_000_000 // len(blank)
+    texts = [f"before{blank * n}after", blank * n, f"a{blank * (packing.LONG_RUN // len(blank) - 1)}b", "a b"]
+    whole = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in packing.TextTokenizer(PATH)(texts)] == whole
+
+
 def test_other_kinds_of_files_use_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     cut = packing.TextTokenizer(path)
