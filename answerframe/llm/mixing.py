@@ -102,10 +102,11 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
-def measured(docs: DataFrame, size_of=None) -> DataFrame:
-    """``doc_id, source, size`` of each row; ``size`` is the number of words unless given."""
+def measured(docs: DataFrame, size_of=None, draw_by: str = "doc_id") -> DataFrame:
+    """``doc_id, source, size`` (and ``draw_by``) of each row; ``size`` is the number of words unless given."""
     size = size_of if size_of is not None else F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    return pick(docs, "doc_id", "text", "source").select("doc_id", "source", size.alias("size"))
+    more = [draw_by] if draw_by != "doc_id" else []
+    return pick(docs, "doc_id", "text", "source", *more).select("doc_id", "source", size.alias("size"), *more)
 
 
 def plan_sources(sized: DataFrame, weights=WEIGHTS) -> list[dict]:
@@ -119,14 +120,15 @@ def plan_sources(sized: DataFrame, weights=WEIGHTS) -> list[dict]:
     ]
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, seed: int = SEED, draw_by: str = "doc_id") -> DataFrame:
     """``doc_id, size, source_size, target, repeats`` of each row of ``docs``.
 
+    Which rows of a size are chosen follows a hash of the column ``draw_by``.
     ``repeats`` (0 to 3) is how often the mix takes the row. Rows without a word have size 0 and go with their
     source's base number. Sources may be null. Rows equal in id, source and size are interchangeable.
     """
-    sized = measured(docs).withColumn("key", F.to_json(F.struct("source", "size")))
-    sized = checkpoint(sized.withColumn("draw", F.xxhash64("doc_id", "size", F.lit(seed))))
+    sized = measured(docs, draw_by=draw_by).withColumn("key", F.to_json(F.struct("source", "size")))
+    sized = checkpoint(sized.withColumn("draw", F.xxhash64(draw_by, "size", F.lit(seed))))
     chosen = checkpoint(choose(sized, weights))
     return pick_rows(sized, chosen)
 
