@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,8 +13,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 #: Code points handled at once inside a task; bounds the memory of numpy steps.
 BLOCK_CHARS = 400_000
+#: A key with more than this share of all rows is cut into pieces.
+HOT_KEYS = 2_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -114,3 +119,26 @@ def share(spark, value) -> Callable[[], object]:
         return held[0]
 
     return get
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder and read again; cuts the lineage as a checkpoint does."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which is unique on ``on`` and whose ``count`` says how many rows an entry meets.
+
+    An entry that meets more than 1/``HOT_KEYS`` of the rows is hot (so there are at most ``HOT_KEYS``); its rows are dealt to as
+    many copies of it as keep each below that share. Hot keys alone are broadcast. ``table`` should be stored.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    copies = F.ceil(F.col(count) * HOT_KEYS / F.lit(max(1, total))).cast("long")
+    salted = table.withColumn("_copies", F.greatest(copies, F.lit(1).cast("long")))
+    hot = salted.where("_copies > 1").select(F.col(on).alias("_hot"), "_copies")
+    salt = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_copies")), F.lit(0).cast("long"))
+    dealt = rows.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_copies")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
+    return dealt.join(salted.withColumn("_salt", each).drop("_copies", count), [on, "_salt"]).drop("_salt")

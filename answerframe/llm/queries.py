@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, linededup, mixing, packing, quality, secrets, simhash, topk, toxicity
+from . import alignment, fingerprint, langid, linededup, mixing, packing, quality, secrets, simhash, topk, toxicity
 from .common import documents
 
 QUERIES = {}
@@ -128,3 +128,12 @@ def op10_mix(spark, sf):
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")
     )
+
+
+@query
+def op12_alignment(spark, sf):
+    """Tokens of two public tokenizers aligned over every whole text."""
+    found = alignment.align_documents(
+        documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return found.documents
