@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 import re
 import uuid
@@ -53,15 +54,26 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows chosen by the hash of ``key``; all rows if there are fewer.
+    """All rows whose ``key`` is among the ``bound`` keys with the smallest hashes; all rows if there are fewer keys.
 
-    Only a model is fitted on such rows; which rows are chosen depends on nothing but keys.
+    Only a model is fitted on such rows; which keys are chosen depends on nothing but the keys. The bound is exact at any
+    size. A first count and the even spread of hashes leave a few more than ``bound`` keys to be sorted out. Rows of a null key
+    are one key's. Rows equal in ``key`` come together, so ``df`` should have few of them.
     """
+    hash_ = F.xxhash64(F.col(key), F.lit(17))
     total = df.count()
     if total <= bound:
         return df
-    cut = int(bound / total * 2**20)
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(2**20)) < cut)
+    few = df.where(hash_ < lower_share(bound, total)).select(hash_.alias("h")).distinct().orderBy("h").limit(bound + 1).collect()
+    if len(few) <= bound:  # keys repeat: fewer keys than rows
+        few = df.select(hash_.alias("h")).distinct().orderBy("h").limit(bound + 1).collect()
+    return df if len(few) <= bound else df.where(hash_ < few[-1]["h"])
+
+
+def lower_share(bound: int, total: int) -> int:
+    """A signed 64-bit number that hashes of ``bound`` of ``total`` keys, and of some more, lie below."""
+    wanted = bound + 10 * math.isqrt(bound) + 100
+    return min(2**63 - 1, -(2**63) + (wanted << 64) // total)
 
 
 def blocks(lengths: Sequence[int], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

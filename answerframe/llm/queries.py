@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import alignment, fingerprint, langid, linededup, mixing, packing, quality, secrets, simhash, topk, toxicity
+from . import (
+    alignment,
+    crosspolytope,
+    fingerprint,
+    langid,
+    linededup,
+    mixing,
+    negatives,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    topk,
+    toxicity,
+)
 from .common import documents
 
 QUERIES = {}
@@ -130,6 +144,39 @@ def op10_mix(spark, sf):
     )
 
 
+@query
+def op11_negatives(spark, sf):
+    """Ten hard negatives for each of the five positives of each row whose id is divisible by 100."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return negatives.mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+ORACLE["op11_negatives"] = """
+WITH ints AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS vec_id, q.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
 @query
 def op12_alignment(spark, sf):
     """Tokens of two public tokenizers aligned over every whole text."""
@@ -137,3 +184,10 @@ def op12_alignment(spark, sf):
         documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     )
     return found.documents
+
+
+@query
+def op13_neighbours(spark, sf):
+    """The five nearest rows by cosine that are found for each row whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return crosspolytope.nearest(vectors, vectors.where("vec_id % 50 = 0"))
