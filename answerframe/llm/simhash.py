@@ -14,8 +14,6 @@ not all pairs. Components of the links are found by contraction in Spark.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import longs, map_arrow, pick, share
+from .common import join_counted, longs, map_arrow, pick, share, stored
 
 SHINGLE = 3
 SEED = 42
@@ -288,57 +286,51 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node at the first of itself and its neighbours in an order drawn anew for the round, and
     replaces the ends of the edges by what they point at. The random order makes also long chains shrink by a
-    constant share a round.
+    constant share a round. Where nodes have got to is kept as one table, so plans stay as short as the first. Merge joins
+    keep all tables off the driver. Tables are written rather than checkpointed: a checkpoint carries over the constraints of its
+    plan, and those of a loop multiply until planning takes all the driver has.
     """
-    edges = checkpoint(edges.select("a", "b").where("a != b"))
-    rounds = []
-    while edges.limit(1).count():
-        draw = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
+    edges = stored(edges.select("a", "b").where("a != b"))
+    found, turn = None, 0
+    while not edges.isEmpty():
+        draw = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(draw("b")).alias("m"))
-        to = checkpoint(least.select("a", F.least("m", draw("a"))["n"].alias("to")))
-        rounds.append(to)
-        one = edges.join(to, "a").select(F.col("to").alias("x"), "b")
-        two = one.join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        to = stored(least.select("a", F.least("m", draw("a"))["n"].alias("to")))
+        if found is None:
+            found = to.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        else:
+            on = found.join(to.select(F.col("a").alias("root"), "to").hint("merge"), "root", "left")
+            found = stored(on.select("node", F.coalesce("to", "root").alias("root")))
+        one = edges.join(to.hint("merge"), "a").select(F.col("to").alias("x"), "b")
+        two = one.join(to.select(F.col("a").alias("b"), F.col("to").alias("y")).hint("merge"), "b")
         moved = two.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = checkpoint(moved.distinct())
-    if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        edges, turn = stored(moved.distinct()), turn + 1
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
+
 
-    def follow(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        """Where ``earlier`` leads, after ``later``."""
-        end = later.select(F.col("node").alias("to"), "root")
-        joined = earlier.join(end, "to", "left")
-        return joined.select(F.col("a").alias("node"), F.coalesce("root", "to").alias("root"))
+def smallest_ids(distinct: DataFrame, root: DataFrame) -> DataFrame:
+    """``fp, component_id, n`` of each row of ``distinct`` (``fp, first, n``): the smallest ``first`` of its component.
 
-    last = rounds[-1].select(F.col("a").alias("node"), F.col("to").alias("root"))
-    return reduce(follow, reversed(rounds[:-1]), last)
+    ``root`` names the component of each value that has a link. Both joins deal the rows of a giant component to many tasks.
+    """
+    named = distinct.join(root.withColumnRenamed("node", "fp").hint("merge"), "fp", "left")
+    named = checkpoint(named.select("fp", "first", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    return checkpoint(join_counted(named, checkpoint(smallest), "root", "members").select("fp", "component_id", "n"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of each row of ``docs``; the smallest id that near fingerprints reach.
 
-    Texts without a word have fingerprint 0 and are linked like any other. Null ids are ignored as smallest id
-    unless a component has no other. Repeated rows are kept.
+    Texts without a word, null ones too, have fingerprint 0 and are linked like any other. Null ids are ignored as smallest id
+    unless a component has no other. Repeated rows are kept. A text of any length is read whole. An empty table gives an
+    empty one; other columns are not looked at.
     """
     rows = checkpoint(fingerprints(docs))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    root = components(links(distinct.select("fp")))
-    named = distinct.join(root, distinct["fp"] == root["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    named = checkpoint(named)
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(smallest, "root").select("fp", "component_id")
-    return with_skew(rows, by_fp)
-
-
-def with_skew(rows: DataFrame, by_fp: DataFrame) -> DataFrame:
-    """Join rows with their fingerprint's values; one fingerprint may hold a third of all rows."""
-    salts = 16
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    copies = by_fp.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, ["fp", "salt"]).select("doc_id", "fp", "component_id")
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    by_fp = smallest_ids(distinct, components(links(distinct.select("fp"))))
+    return join_counted(rows, by_fp, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(column: str):

@@ -4,7 +4,7 @@ from answerframe.llm import linededup, packing, quality
 from test_linededup import plain
 from test_mixing import check as check_mix
 from test_packing import check as check_pack
-from test_simhash import plain_groups
+from test_resemblance import plain_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -51,7 +51,7 @@ def test_line_stage(stages):
 
 def test_near_duplicate_stage(stages):
     groups = plain_groups(pairs(stages[2]))
-    assert sorted(r.doc_id for r in stages[3].collect()) == sorted({c for _, _, c in groups})
+    assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(groups.values()))
 
 
 def test_mixing_stage(stages):
