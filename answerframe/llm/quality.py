@@ -2,33 +2,37 @@
 
 The text view sees hashed words and runs of symbols and how often words repeat. The metadata view sees what is known of a
 page without reading its words: source, language, length, number and length of lines, shares of kinds of characters. Two
-logistic classifiers start from the labelled rows. In each round either one labels those unlabelled documents that it is surest of, and the
-other one learns from them too. At last both are calibrated on labelled rows that neither has seen, and their log-odds are added
+logistic classifiers start from the labelled rows. In each round both score every unlabelled document in Spark; what one of
+them is sure of, the other one learns from too, as many rows of either label as ``PSEUDO`` says, chosen by the hash of the id among all
+that are sure. At last both are calibrated on labelled rows that neither has seen, and their log-odds are added
 (less the prior's, which both contain). All documents are scored by one pass without a shuffle.
 
-Models are fitted on the driver from a bounded sample, chosen by the hash of the id: at most about ``MAX_LABELLED`` labelled and
-``MAX_UNLABELLED`` other documents. Each is read whole.
+Models are fitted in a task from a bounded table: ``MAX_LABELLED`` labelled documents, chosen by the hash of the id, and the
+pseudo-labelled ones. Each is read whole.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, doubles, pick, share, with_private_names
+from .common import bounded_sample, doubles, pick, share, stored, with_private_names
 
-MAX_LABELLED, MAX_UNLABELLED = 8_000, 6_000
+MAX_LABELLED = 8_000
 TEXT_BITS, META_BITS = 16, 12
-ROUNDS = 3
-#: Share of the unlabelled documents that a view labels a round, at most, and how sure it must be.
-GROWTH, SURE = 0.1, 0.95
+ROUNDS = 2
+#: Documents of a label that a view labels a round, at most, and how sure it must be.
+PSEUDO, SURE = 1_000, 0.95
 #: Every so-manieth labelled row is kept for calibration.
 CALIBRATION = 4
 STEPS, RATE, PENALTY = 120, 0.05, 1e-4
@@ -158,88 +162,134 @@ class QualityModel:
         return by_text, a * float(self.meta[meta_view(text, lang, source)].sum()) + b
 
 
-def co_train(text: View, meta: View, y: np.ndarray, labelled: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> QualityModel:
-    """Let both views teach each other; ``held`` are labelled rows for calibration only."""
-    views = (text, meta)
-    prior_share = (np.sum(y[labelled] == 1) + 1) / (labelled.sum() + 2)
-    prior = float(np.log(prior_share / (1 - prior_share)))
-    taught = [y.copy(), y.copy()]  # what each view learns from; by the other view for unlabelled rows
-    uses = [labelled & ~held, labelled & ~held]
-    open_ = ~labelled
-    limit = int(GROWTH * open_.sum())
-    for turn in range(rounds + 1):
-        for k, view in enumerate(views):
-            view.learn(taught[k], uses[k], STEPS if turn == 0 else STEPS // 3)
-        if turn == rounds:
-            break
-        for k, view in enumerate(views):
-            a, b = calibrate(view.scores()[held], y[held])
-            p = logistic(a * view.scores() + b)
-            other = 1 - k
-            for label, sure in ((1, p), (0, 1 - p)):
-                share = prior_share if label else 1 - prior_share
-                able = np.flatnonzero(open_ & ~uses[other] & (sure >= SURE))
-                best = able[np.argsort(-sure[able], kind="stable")[: max(1, int(limit * share))]]
-                taught[other][best] = label
-                uses[other][best] = True
-    lines = [calibrate(v.scores()[held], y[held]) for v in views]
-    # a view's constant term moves into its line
-    lines = [(a, b + a * v.shift) for (a, b), v in zip(lines, views, strict=True)]
-    return QualityModel(text.weights, lines[0], meta.weights, lines[1], prior)
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> QualityModel:
-    """Learn from ``docs`` (``doc_id, text, lang, source``) and ``labels`` (``doc_id, quality`` of 0 or 1).
+def co_train(text: View, meta: View, y: np.ndarray, taught: np.ndarray, held: np.ndarray) -> QualityModel:
+    """Let each view learn the labels ``y`` (-1: none) and those that the other view gave it, ``taught`` (a column a view).
 
-    Rows without an id count as unlabelled rows do that the hash does not choose: not at all. Without labels of both
-    kinds the model keeps everything.
+    ``held`` are labelled rows that are kept for calibration only.
     """
-    rows = pick(docs, "doc_id", "text", "lang", "source").where("doc_id IS NOT NULL")
-    given = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
-    chosen = bounded_sample(given, "doc_id", max_labelled).withColumn("y", F.col("quality").cast("int")).drop("quality")
-    ids = rows.select("doc_id").join(given.select("doc_id"), "doc_id", "left_anti")
-    others = bounded_sample(ids, "doc_id", max_unlabelled).withColumn("y", F.lit(-1))
-    asked = chosen.unionByName(others).dropDuplicates(["doc_id"])
+    labelled = y >= 0
+    share = (np.sum(y[labelled] == 1) + 1) / (labelled.sum() + 2)
+    lines = []
+    for k, view in enumerate((text, meta)):
+        target = np.where(labelled, y, taught[:, k])
+        view.learn(target, (target >= 0) & ~held)
+        a, b = calibrate(view.scores()[held], y[held])
+        lines.append((a, b + a * view.shift))  # a view's constant term moves into its line
+    return QualityModel(text.weights, lines[0], meta.weights, lines[1], float(np.log(share / (1 - share))))
+
+
+def keep_all() -> QualityModel:
+    return QualityModel(np.zeros(1 << TEXT_BITS), (1.0, 40.0), np.zeros(1 << META_BITS), (1.0, 40.0), 0.0)
+
+
+FEATURES = "doc_id long, y int, by_meta int, by_text int, at array<int>, value array<float>, meta array<int>"
 
-    def views(batches):
+
+def features(rows: DataFrame) -> DataFrame:
+    """Both views' features of ``doc_id, text, lang, source, y, by_meta, by_text``; an id that repeats counts once."""
+    names = [c.split(" ")[0] for c in FEATURES.split(", ")]
+
+    def run(batches):
         for batch in batches:
-            ids, texts, langs, sources, y = (batch.column(i).to_pylist() for i in range(5))
+            texts, langs, sources = (batch.column(i).to_pylist() for i in (1, 2, 3))
             text = [text_view(t) for t in texts]
             meta = [meta_view(t, g, s) for t, g, s in zip(texts, langs, sources, strict=True)]
             columns = [
-                pa.array(ids, pa.int64()),
-                pa.array(y, pa.int32()),
+                batch.column(0),
+                *(batch.column(i) for i in (4, 5, 6)),
                 pa.array([t[0] for t in text], pa.list_(pa.int32())),
                 pa.array([t[1] for t in text], pa.list_(pa.float32())),
                 pa.array(meta, pa.list_(pa.int32())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "y", "at", "value", "meta"])
-
-    # the sample's bounds make it small enough to be sent to the texts
-    joined = rows.join(F.broadcast(asked), "doc_id")
-    # an id that repeats counts once
-    joined = joined.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("r"))
-    joined = joined.select("doc_id", "r.text", "r.lang", "r.source", "y")
-    table = joined.mapInArrow(views, "doc_id long, y int, at array<int>, value array<float>, meta array<int>").toArrow()
-    table = table.take(np.lexsort((np.asarray(table.column("y")), np.asarray(table.column("doc_id")))))
-    y = np.asarray(table.column("y"))
-    if not ((y == 0).any() and (y == 1).any()):
-        return QualityModel(np.zeros(1 << TEXT_BITS), (1.0, 40.0), np.zeros(1 << META_BITS), (1.0, 40.0), 0.0)
-    made = []
-    for name, bits in (("at", TEXT_BITS), ("meta", META_BITS)):
-        lists = table.column(name).combine_chunks()
-        n = lists.value_lengths().to_numpy()
-        values = table.column("value").combine_chunks().flatten().to_numpy() if name == "at" else np.ones(int(n.sum()), np.float32)
-        made.append(View(np.repeat(np.arange(len(y)), n), lists.flatten().to_numpy(), values, len(y), 1 << bits))
-    labelled = y >= 0
-    held = labelled & ((np.cumsum(labelled) % CALIBRATION) == 0)
-    return co_train(*made, y, labelled, held)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    marks = ["y", "by_meta", "by_text"]
+    once = rows.groupBy("doc_id", *marks).agg(F.min(F.struct("text", "lang", "source")).alias("r"))
+    return once.select("doc_id", "r.text", "r.lang", "r.source", *marks).mapInArrow(run, FEATURES)
+
+
+def learn_in_task(table: DataFrame) -> QualityModel:
+    """The model that one task learns from a bounded table of features."""
+
+    def run(batches):
+        table = pa.Table.from_batches(batches)
+        if table.num_rows:
+            table = table.take(np.lexsort([np.asarray(table.column(c)) for c in ("by_text", "by_meta", "y", "doc_id")]))
+        y = np.asarray(table.column("y")) if table.num_rows else np.zeros(0, int)
+        if (y == 0).any() and (y == 1).any():
+            views = []
+            for name, bits in (("at", TEXT_BITS), ("meta", META_BITS)):
+                lists = table.column(name).combine_chunks()
+                n = lists.value_lengths().to_numpy()
+                values = table.column("value").combine_chunks().flatten().to_numpy() if name == "at" else np.ones(int(n.sum()), np.float32)
+                views.append(View(np.repeat(np.arange(len(y)), n), lists.flatten().to_numpy(), values, len(y), 1 << bits))
+            labelled = y >= 0
+            taught = np.stack([np.asarray(table.column(c)) for c in ("by_meta", "by_text")], axis=1)
+            model = co_train(*views, y, taught, labelled & ((np.cumsum(labelled) % CALIBRATION) == 0))
+        else:
+            model = None
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(model)], pa.binary())], ["model"])
+
+    found = table.coalesce(1).mapInArrow(run, "model binary").collect()
+    return (pickle.loads(found[0][0]) if found else None) or keep_all()
+
+
+def sure_rows(rows: DataFrame, model: QualityModel, given: DataFrame) -> DataFrame:
+    """``doc_id, by_meta, by_text``: what each view is sure of among all rows without a label, ``PSEUDO`` of a label at most."""
+    shared = share(rows.sparkSession, model)
+    limit = float(np.log(SURE / (1 - SURE)))
+
+    def run(batches):
+        model = shared()
+        for batch in batches:
+            parts = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
+            odds = np.array([model.log_odds(*p) for p in parts], float).reshape(-1, 2)
+            marks = [pa.array(np.where(odds[:, k] >= limit, 1, np.where(odds[:, k] <= -limit, 0, -1)), pa.int32()) for k in (1, 0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *marks], ["doc_id", "by_meta", "by_text"])
+
+    marked = rows.mapInArrow(run, "doc_id long, by_meta int, by_text int").where("by_meta >= 0 OR by_text >= 0")
+    marked = stored(marked.join(given.select("doc_id"), "doc_id", "left_anti").distinct())
+    order = F.xxhash64("doc_id", F.lit(23))
+    none = F.lit(-1)
+    chosen = [
+        marked.where(F.col(view) == label).orderBy(order, "doc_id").limit(PSEUDO).select(
+            "doc_id", *[(F.col(v) if v == view else none).alias(v) for v in ("by_meta", "by_text")]
+        )
+        for view in ("by_meta", "by_text")
+        for label in (0, 1)
+    ]
+    every = reduce(DataFrame.unionByName, chosen)
+    return every.groupBy("doc_id").agg(F.max("by_meta").alias("by_meta"), F.max("by_text").alias("by_text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> QualityModel:
+    """Learn from ``docs`` (``doc_id, text, lang, source``) and ``labels`` (``doc_id, quality`` of 0 or 1).
+
+    Rows without an id teach nothing. An id with several labels gives a row for each; repeated rows of an id count
+    once. Equally sure rows are chosen by hash. Without labels of both kinds, as with empty tables, the model keeps everything.
+    """
+    rows = pick(docs, "doc_id", "text", "lang", "source").where("doc_id IS NOT NULL")
+    given = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    none = F.lit(-1)
+    chosen = bounded_sample(given, "doc_id", max_labelled).select(
+        "doc_id", F.col("quality").cast("int").alias("y"), none.alias("by_meta"), none.alias("by_text")
+    )
+    # the bounds of what is asked for make it small enough to be sent to the texts
+    table = stored(features(rows.join(F.broadcast(chosen.dropDuplicates()), "doc_id")))
+    model = learn_in_task(table)
+    if table.select("y").distinct().count() < 2:
+        return model
+    for _ in range(rounds):
+        asked = stored(sure_rows(rows, model, given).select("doc_id", none.alias("y"), "by_meta", "by_text"))
+        table = stored(table.unionByName(features(rows.join(F.broadcast(asked), "doc_id"))))
+        model = learn_in_task(table)
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, keep: float = KEEP) -> DataFrame:
     """``docs`` with ``p_text, p_meta, quality_score, keep`` as last columns, from each whole text and its metadata.
 
-    Nulls are a value of their own in either view. Columns of ``docs`` stay, also those named like the new ones.
+    Nulls are a value of their own in either view; repeated rows are scored each. An empty table gives an empty one. Columns of ``docs`` stay, also those named like the new ones.
     """
     shared = share(docs.sparkSession, model)
     renamed, names = with_private_names(docs)

@@ -84,10 +84,36 @@ def test_views_teach_each_other():
     one = quality.View(np.arange(n), y * 1 + 2 * (rng.random(n) < 0.02), np.ones(n), n, 4)
     # in the labelled rows the second view is always column 0: it cannot tell them apart
     other = quality.View(np.arange(n), np.where(labelled, 0, 1 + y), np.ones(n), n, 4)
-    quality.co_train(one, other, np.where(labelled, y, -1), labelled, held)
+    given = np.where(labelled, y, -1)
+    quality.co_train(one, other, given, np.full((n, 2), -1), held)
+    sure = one.scores()
+    taught = np.stack([np.full(n, -1), np.where(labelled, -1, (sure > 0).astype(int))], axis=1)
+    quality.co_train(one, other, given, taught, held)
     assert other.weights[2] > other.weights[1] + 0.5
 
 
+def test_sure_rows_come_from_all_documents(spark, pages, monkeypatch):
+    """Pseudo-labels are the smallest hashes among all unlabelled rows that a view is sure of, not a sample's."""
+    from pyspark.sql import functions as F
+
+    docs, labels, _ = pages
+    monkeypatch.setattr(quality, "PSEUDO", 7)
+    model = quality.fit(docs, labels, rounds=0)
+    rows = docs.select("doc_id", "text", "lang", "source")
+    got = {(r.doc_id, r.by_meta, r.by_text) for r in quality.sure_rows(rows, model, labels).collect()}
+    given = {r.doc_id for r in labels.collect()}
+    limit = np.log(quality.SURE / (1 - quality.SURE))
+    order = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(23)).alias("h")).collect()}
+    want = {}
+    odds = {r.doc_id: model.log_odds(r.text, r.lang, r.source) for r in docs.collect() if r.doc_id not in given}
+    for place, view in ((0, 1), (1, 0)):
+        for label in (0, 1):
+            sure = [d for d, o in odds.items() if (o[view] >= limit if label else o[view] <= -limit)]
+            for d in sorted(sure, key=order.get)[:7]:
+                want.setdefault(d, [-1, -1])[place] = label
+    assert got == {(d, *m) for d, m in want.items()} and len(got) >= 7
+
+
 def test_query_results(spark, some_docs, sf_small):
     n = some_docs.count()
     assert QUERIES["op1_toxicity"](spark, sf_small).count() == n
