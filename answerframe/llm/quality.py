@@ -26,13 +26,15 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, doubles, pick, share, stored, with_private_names
+from .common import bounded_sample, doubles, lower_share, pick, share, stored, with_private_names
 
 MAX_LABELLED = 8_000
 TEXT_BITS, META_BITS = 16, 12
 ROUNDS = 2
 #: Documents of a label that a view labels a round, at most, and how sure it must be.
 PSEUDO, SURE = 1_000, 0.95
+#: Documents that are scored first for pseudo-labels; eight times as many follow until there are enough of each kind.
+FIRST_SLICE = 16_000
 #: Every so-manieth labelled row is kept for calibration.
 CALIBRATION = 4
 STEPS, RATE, PENALTY = 120, 0.05, 1e-4
@@ -212,10 +214,12 @@ def learn_in_task(table: DataFrame) -> QualityModel:
     """The model that one task learns from a bounded table of features."""
 
     def run(batches):
-        table = pa.Table.from_batches(batches)
-        if table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        y = np.zeros(0, int)
+        if held:
+            table = pa.Table.from_batches(held)
             table = table.take(np.lexsort([np.asarray(table.column(c)) for c in ("by_text", "by_meta", "y", "doc_id")]))
-        y = np.asarray(table.column("y")) if table.num_rows else np.zeros(0, int)
+            y = np.asarray(table.column("y"))
         if (y == 0).any() and (y == 1).any():
             views = []
             for name, bits in (("at", TEXT_BITS), ("meta", META_BITS)):
@@ -247,16 +251,24 @@ def sure_rows(rows: DataFrame, model: QualityModel, given: DataFrame) -> DataFra
             marks = [pa.array(np.where(odds[:, k] >= limit, 1, np.where(odds[:, k] <= -limit, 0, -1)), pa.int32()) for k in (1, 0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *marks], ["doc_id", "by_meta", "by_text"])
 
-    marked = rows.mapInArrow(run, "doc_id long, by_meta int, by_text int").where("by_meta >= 0 OR by_text >= 0")
-    marked = stored(marked.join(given.select("doc_id"), "doc_id", "left_anti").distinct())
-    order = F.xxhash64("doc_id", F.lit(23))
+    # rows are scored in the order of their hashes, slice by slice, until every kind has as many as are chosen: the rest cannot be
+    order, total, wanted, low = F.xxhash64("doc_id", F.lit(23)), rows.count(), FIRST_SLICE, None
+    kinds = [(view, label) for view in ("by_meta", "by_text") for label in (0, 1)]
+    slices, held = [], [0] * len(kinds)
+    while min(held) < PSEUDO and (low is None or low < 2**63 - 1):
+        high = lower_share(wanted, total) if wanted < total else 2**63 - 1
+        inside = (order >= low if low is not None else F.lit(True)) & ((order < high) if high < 2**63 - 1 else F.lit(True))
+        marked = rows.where(inside).mapInArrow(run, "doc_id long, by_meta int, by_text int").where("by_meta >= 0 OR by_text >= 0")
+        slices.append(stored(marked.join(given.select("doc_id"), "doc_id", "left_anti").distinct()))
+        found = slices[-1].agg(*[F.count_if(F.col(view) == label) for view, label in kinds]).first()
+        held, low, wanted = [a + b for a, b in zip(held, found, strict=True)], high, 8 * wanted
+    marked = reduce(DataFrame.unionByName, slices)
     none = F.lit(-1)
     chosen = [
         marked.where(F.col(view) == label).orderBy(order, "doc_id").limit(PSEUDO).select(
             "doc_id", *[(F.col(v) if v == view else none).alias(v) for v in ("by_meta", "by_text")]
         )
-        for view in ("by_meta", "by_text")
-        for label in (0, 1)
+        for view, label in kinds
     ]
     every = reduce(DataFrame.unionByName, chosen)
     return every.groupBy("doc_id").agg(F.max("by_meta").alias("by_meta"), F.max("by_text").alias("by_text"))

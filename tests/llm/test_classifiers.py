@@ -98,6 +98,8 @@ def test_sure_rows_come_from_all_documents(spark, pages, monkeypatch):
 
     docs, labels, _ = pages
     monkeypatch.setattr(quality, "PSEUDO", 7)
+    monkeypatch.setattr(quality, "FIRST_SLICE", 20)
+    monkeypatch.setattr(quality, "lower_share", lambda bound, total: -(2**63) + (bound << 64) // total)
     model = quality.fit(docs, labels, rounds=0)
     rows = docs.select("doc_id", "text", "lang", "source")
     got = {(r.doc_id, r.by_meta, r.by_text) for r in quality.sure_rows(rows, model, labels).collect()}
