@@ -165,11 +165,13 @@ def dtm_sparse(spark, sf):
 
 @query
 def dtm_wide(spark, sf):
-    """One column for each of the fifty terms of the pruned vocabulary that most documents have."""
+    """One column for each of the fifty terms of the pruned vocabulary that most documents have, named by rank."""
     docs = documents(spark, sf)
     vocab = tm.prune_vocabulary(tm.vocabulary(tm.word_counts(docs, "doc_id", "text")), docs)
     top = vocab.orderBy(F.col("doc_count").desc(), "term").limit(50).collect()
-    return tm.wide_counts(docs, "doc_id", words("text"), [r["term"] for r in top], "all_")
+    wide = tm.wide_counts(docs, "doc_id", words("text"), [r["term"] for r in top], "all_")
+    wide = wide.toDF("doc_id", *[f"all_{k}" for k in range(1, len(top) + 1)])
+    return wide.select("*", *[F.lit(None).cast("long").alias(f"all_{k}") for k in range(len(top) + 1, 51)])
 
 
 @query

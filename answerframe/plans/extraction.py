@@ -77,11 +77,10 @@ class FeatureExtraction:
 
     def topic_modeling(self) -> DataFrame:
         opt = self._of("topic_modeling")
-        vectors, _ = tp.count_vectors(
-            self.df, [self.id_col], words(self.text_col), opt.get("min_docfreq", 2)
-        )
-        model = tp.fit_topics(vectors, opt.get("k", tp.TOPICS["all_text"]), opt.get("iterations", 20))
-        return tp.topic_columns(model, vectors, self.id_col, "all_text")
+        texts = self.df.select(self.id_col, F.lit("all_text").alias("field"), F.coalesce(self.text_col, F.lit("")).alias("text"))
+        ks = {"all_text": [opt.get("k", tp.TOPICS["all_text"])]}
+        rest = {"iterations": opt.get("iterations", 20), "min_docfreq": opt.get("min_docfreq", 2)}
+        return tp.fit_topics(texts, self.id_col, words("text"), ks, **rest).columns()
 
     def embed(self, encoder: Callable[[pd.Series], np.ndarray]) -> DataFrame:
         """Vectors of any encoder that maps a batch of texts to one row each."""

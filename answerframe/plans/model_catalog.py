@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import readability as rd
@@ -204,41 +205,64 @@ def topic_tokens(text):
     return ngrams(without(words(text), wl.STOPWORDS), 1, 5)
 
 
+def six_texts(spark, sf):
+    """``respondent_id, field, text`` of the five answers and their concatenation; a null answer is an empty text."""
+    df = answers(spark, sf).withColumn("all_text", concat_skip_null(*ANSWERS))
+    pairs = [F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit("")).alias("text")) for f in tp.TOPICS]
+    return df.select("respondent_id", F.inline(F.array(*pairs)))
+
+
+def six_topics(spark, sf):
+    """The models of all six texts with the published numbers of topics."""
+    ks = {f: [k] for f, k in tp.TOPICS.items()}
+    return tp.fit_topics(six_texts(spark, sf), "respondent_id", topic_tokens("text"), ks)
+
+
 @query
 def lda_topics(spark, sf):
-    """Topics of all six texts, with the published numbers of topics: 260 columns.
+    """Topics of all six texts, with the published numbers of topics.
 
-    Shown per respondent and text: how many shares it has, how many are null, and their sum (0 for a text
-    without a term that occurs in two texts).
+    Shown per respondent and text: how many shares it has, how many are null or outside 0 to 1, their sum (0 for a text
+    without a term that occurs in two texts), and whether training has raised the model's bound.
     """
-    df = answers(spark, sf).withColumn("all_text", concat_skip_null(*ANSWERS)).persist()
-    parts = []
-    for field, k in tp.TOPICS.items():
-        vectors, _ = tp.count_vectors(df, ["respondent_id"], topic_tokens(F.coalesce(field, F.lit(""))))
-        vectors = vectors.persist()
-        columns = tp.topic_columns(tp.fit_topics(vectors, k, iterations=5), vectors, "respondent_id", field)
-        shares = F.array(*[c for c in columns.columns if c.startswith("topic_")])
-        parts.append(
-            columns.select(
-                "respondent_id",
-                F.lit(field).alias("field"),
-                F.size(shares).alias("n_topics"),
-                F.size(F.filter(shares, lambda x: x.isNull())).alias("n_null"),
-                F.round(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
-            )
-        )
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    models = six_topics(spark, sf)
+    learned = {f: bool(b[-1][0] > b[0][0]) for f, b in models.bounds.items()}
+    shares = F.col("shares")
+    wrong = lambda x: x.isNull() | ~x.between(0, 1)
+    return models.shares().select(
+        "respondent_id",
+        "field",
+        F.size(shares).alias("n_topics"),
+        F.size(F.filter(shares, wrong)).alias("n_wrong"),
+        F.round(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+        F.element_at(F.create_map(*[F.lit(x) for kv in learned.items() for x in kv]), F.col("field")).alias("learned"),
+    )
+
+
+@query
+def topic_shares(spark, sf):
+    """The 260 topic columns of every respondent."""
+    return six_topics(spark, sf).columns()
 
 
 @query
 def choose_k(spark, sf):
-    """Every number of topics from 2 to 75 on the first answer."""
-    df = answers(spark, sf).select("respondent_id", F.coalesce("open_ended_1", F.lit("")).alias("text"))
-    vectors, _ = tp.count_vectors(df, ["respondent_id"], topic_tokens("text"))
-    return tp.choose_k(vectors, iterations=3)
+    """Every number of topics from 2 to 75 on all six texts: 444 models in one run.
+
+    Shown per model: whether its bound and its topics' mean cosine are numbers in their ranges, and how many of its text's
+    models are marked as best by either.
+    """
+    ks = {f: list(tp.CHOICES) for f in tp.TOPICS}
+    models = tp.fit_topics(six_texts(spark, sf), "respondent_id", topic_tokens("text"), ks)
+    of_text = Window.partitionBy("field")
+    return tp.choose_k(models).select(
+        "field",
+        "k",
+        (F.col("log_likelihood") < 0).alias("has_bound"),
+        F.col("mean_cosine").between(0, 1).alias("has_cosine"),
+        F.sum(F.col("best_likelihood").cast("int")).over(of_text).alias("n_best_likelihood"),
+        F.sum(F.col("best_cosine").cast("int")).over(of_text).alias("n_best_cosine"),
+    )
 
 
 def tuning_features(spark, sf):

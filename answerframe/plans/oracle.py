@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import readability as rd
 from ..functions import stem as st
 from ..functions.text import ANSWERS
-from ..operators.topics import TOPICS
+from ..operators.topics import CHOICES, TOPICS
 from . import wordlists as wl
 from .tuning_run import ALPHAS, L1_RATIOS
 from .stand_ins import DEV_SOURCES, TEST_SOURCES
@@ -112,12 +112,15 @@ SELECT doc_id, term, n FROM cells WHERE term IN (SELECT term FROM pruned)"""
 ORACLE["dtm_sparse"] = f"""
 WITH {CELLS}, {VOCAB}, {_PRUNED}
 SELECT doc_id, term, n::DOUBLE AS value FROM cells JOIN pruned USING (term)"""
+_RANKED = ",\n  ".join(
+    f"CASE WHEN (SELECT count(*) FROM top) >= {r} THEN CAST(coalesce(max(c.n) FILTER (WHERE t.rank = {r}), 0) AS BIGINT) END AS all_{r}"
+    for r in range(1, 51)
+)
 ORACLE["dtm_wide"] = f"""
 WITH {CELLS}, {VOCAB}, {_PRUNED},
-top AS (SELECT term FROM pruned ORDER BY doc_count DESC, term LIMIT 50),
-full_rows AS (SELECT d.doc_id, 'all_' || t.term AS name, CAST(coalesce(c.n, 0) AS BIGINT) AS n
-  FROM documents d CROSS JOIN top t LEFT JOIN cells c ON c.doc_id = d.doc_id AND c.term = t.term)
-PIVOT full_rows ON name USING first(n) GROUP BY doc_id"""
+top AS (SELECT term, row_number() OVER (ORDER BY doc_count DESC, term) AS rank FROM pruned QUALIFY rank <= 50)
+SELECT d.doc_id, {_RANKED}
+FROM documents d LEFT JOIN cells c ON c.doc_id = d.doc_id LEFT JOIN top t ON t.term = c.term GROUP BY d.doc_id"""
 ORACLE["tfidf_log10"] = f"""
 WITH {CELLS}, {VOCAB}
 SELECT doc_id, term, n, round(n * log10((SELECT count(*) FROM documents)::DOUBLE / doc_count) + 1e-9, 6) AS weight
@@ -619,9 +622,14 @@ found AS (SELECT DISTINCT respondent_id, field, term FROM
   (SELECT respondent_id, field, unnest({words('text')}) AS term FROM texts) AS t WHERE term NOT IN {word_list(wl.STOPWORDS)}),
 vocab AS (SELECT field, term FROM found GROUP BY field, term HAVING count(*) >= 2),
 seen AS (SELECT DISTINCT respondent_id, field FROM found JOIN vocab USING (field, term))
-SELECT t.respondent_id, t.field, CAST(t.n_topics AS INTEGER) AS n_topics, 0 AS n_null,
-  CASE WHEN s.field IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total
+SELECT t.respondent_id, t.field, CAST(t.n_topics AS INTEGER) AS n_topics, 0 AS n_wrong,
+  CASE WHEN s.field IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS total, true AS learned
 FROM texts t LEFT JOIN seen s USING (respondent_id, field)"""
+_FIELDS = ", ".join(f"('{f}')" for f in TOPICS)
+ORACLE["choose_k"] = f"""
+SELECT field, CAST(k AS INTEGER) AS k, true AS has_bound, true AS has_cosine, CAST(1 AS BIGINT) AS n_best_likelihood,
+  CAST(1 AS BIGINT) AS n_best_cosine
+FROM (VALUES {_FIELDS}) AS f(field) CROSS JOIN range({min(CHOICES)}, {max(CHOICES) + 1}) AS r(k)"""
 
 # The wide table joins the single-family results. The concatenated text takes the
 # place of the documents inside the families that read those.

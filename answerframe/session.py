@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = 200_000, max_chars: int = 8_00
         df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
     )
     return rows <= max_rows and size <= max_chars
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, is compressed, and starts a plan of its own.
+
+    In a loop this is the cheaper cut: a checkpointed DataFrame carries its plan's constraints into the next round.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
 import json
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -237,18 +239,84 @@ def test_encode_texts(spark):
     assert row.embedding == [2.0, 4.0, 0.0, 0.0]
 
 
-def test_topics(spark):
+def plain_lda(texts, k, weights, iterations):
+    """The same model with dense loops: counts of texts by terms, first weights by term."""
+    counts = np.array(texts, float)
+    for _ in range(iterations):
+        topic = np.exp(tp.digamma(weights) - tp.digamma(weights.sum(axis=0)))
+        new, shares, bound = np.full_like(weights, 1 / k), [], 0.0
+        for row in counts:
+            gamma = np.full(k, 1 / k + row.sum() / k)
+            for turn in range(tp.INNER + 1):
+                share = np.exp(tp.digamma(gamma) - tp.digamma(gamma.sum()))
+                phi = share * topic / (share * topic).sum(axis=1)[:, None]
+                if turn < tp.INNER:
+                    gamma = 1 / k + row @ phi
+            bound += (row * np.log((share * topic).sum(axis=1))).sum()
+            shares.append(gamma / gamma.sum())
+            new += row[:, None] * phi
+        weights = new
+    return weights, np.array(shares), bound
+
+
+@pytest.mark.parametrize(("numbers", "cells"), [(1 << 23, 1 << 20), (40, 8)])
+def test_topics_equal_dense_loops(spark, monkeypatch, numbers, cells):
+    """Several fields and numbers of topics together, in one part and in many, against one plain model each."""
+    monkeypatch.setattr(tp, "PART_NUMBERS", numbers)
+    monkeypatch.setattr(tp, "CELLS", cells)
+    rng = np.random.default_rng(1)
+    vocabulary = {"a": [f"a{c}" for c in "uvwxyz"], "b": [f"b{c}" for c in "rstuvwxyz"]}
+    counts = {f: rng.integers(0, 3, (14, len(v))) for f, v in vocabulary.items()}
+    rows = [
+        (i, f, " ".join(" ".join([w] * n) for w, n in zip(vocabulary[f], row, strict=True)))
+        for f in counts
+        for i, row in enumerate(counts[f].tolist())
+    ]
+    rows += [(99, "a", ""), (99, "b", "only here")]
+    df = spark.createDataFrame(rows, "id long, field string, text string").repartition(3)
+    models = tp.fit_topics(df, "id", words("text"), {"a": [2, 3], "b": [4]}, iterations=3, tolerance=0)
+    got = {(r.id, r.field): np.array(r.shares) for r in models.shares().collect()}
+    assert (got[99, "a"] == 0).all() and len(got[99, "a"]) == 5 and (got[99, "b"] == 0).all() and len(got) == 30
+    hashes = {(r.f, r.t): r.h for r in spark.createDataFrame([(f, t) for f, v in vocabulary.items() for t in v], "f string, t string").select("f", "t", F.xxhash64("f", "t").alias("h")).collect()}
+    for f, k, s, width in (("a", 2, slice(0, 2), 5), ("a", 3, slice(2, 5), 5), ("b", 4, slice(0, 4), 4)):
+        first = np.array([tp.first_weights(tp.SEED, hashes[f, t], width)[s] for t in vocabulary[f]])
+        weights, _, _ = plain_lda(counts[f], k, first, 3)
+        _, shares, _ = plain_lda(counts[f], k, weights, 1)
+        assert np.allclose([got[i, f][s] for i in range(14)], shares, atol=1e-9)
+        unit = weights / weights.sum(axis=0)
+        unit /= np.sqrt((unit**2).sum(axis=0))
+        cosine = ((unit.T @ unit).sum() - k) / (k * (k - 1))
+        found = [r for r in models.quality().collect() if (r.field, r.k) == (f, k)]
+        assert len(found) == 1 and found[0].mean_cosine == pytest.approx(cosine)
+
+
+def test_special_functions():
+    x = np.array([0.01, 0.5, 1.0, 3.7, 250.0])
+    assert np.allclose(tp.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
+    step = 1e-6 * np.maximum(1, x)
+    slope = [(math.lgamma(v + h) - math.lgamma(v - h)) / (2 * h) for v, h in zip(x, step, strict=True)]
+    assert np.allclose(tp.digamma(x), slope, rtol=1e-5, atol=1e-4)
+
+
+def test_topics_part_texts_and_choose_k(spark):
     texts = ["apple pear plum"] * 10 + ["wheel brake motor"] * 10
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    vectors, _ = tp.count_vectors(df, ["id"], words("t"))
-    shares = tp.topic_columns(tp.fit_topics(vectors, 2), vectors, "id", "all_text")
+    df = spark.createDataFrame([(i, "all_text", t) for i, t in enumerate(texts)], "id long, field string, text string")
+    models = tp.fit_topics(df, "id", words("text"), {"all_text": [2]})
+    shares = models.columns()
     assert shares.columns == ["id", "topic_1_all_text", "topic_2_all_text"]
-    for r in shares.collect():
-        assert r.topic_1_all_text + r.topic_2_all_text == pytest.approx(1)
-    chosen = tp.choose_k(vectors, [2, 3], iterations=3).collect()
+    rows = {r.id: r for r in shares.collect()}
+    assert all(r.topic_1_all_text + r.topic_2_all_text == pytest.approx(1) for r in rows.values())
+    main = [rows[i].topic_1_all_text > 0.5 for i in range(20)]
+    assert len(set(main[:10])) == len(set(main[10:])) == 1 and main[0] != main[10]
+    bounds = [b[0] for b in models.bounds["all_text"]]
+    assert bounds[-1] > bounds[0] and all(b > a - 1e-6 * abs(a) for a, b in zip(bounds, bounds[1:], strict=False))
+    several = tp.fit_topics(df, "id", words("text"), {"all_text": [2, 3, 4]}, iterations=5)
+    chosen = tp.choose_k(several).collect()
+    assert sorted(r.k for r in chosen) == [2, 3, 4]
     assert sum(r.best_likelihood for r in chosen) == 1 and sum(r.best_cosine for r in chosen) == 1
-    best = max(chosen, key=lambda r: r.log_likelihood)
-    assert best.best_likelihood
+    assert max(chosen, key=lambda r: r.log_likelihood).best_likelihood
+    none = tp.fit_topics(df.where("false"), "id", words("text"), {"all_text": [2]}, iterations=2)
+    assert none.columns().collect() == []
 
 
 def test_tuning_run_end_to_end(rows):
