@@ -1,68 +1,49 @@
 """Exact top-k inner products of norm-sorted vectors.
 
 Vectors are turned into integers first. Their second moments (one small matrix, summed in Spark) give an SVD basis
-in which the first coordinates carry most of an inner product. Candidates are range-partitioned by descending norm and
-processed in that order in blocks. For a block and a query, ``|q| * |longest|`` bounds all products (whole blocks are
-skipped), then the partial product over the first rotated coordinates plus the Cauchy-Schwarz bound
-``|rest of q| * |rest of x|`` of the others bounds each one. What is left is multiplied in integers, so results are exact.
-
-The longest candidates are searched first and give every query a floor that the rest must reach. Queries are taken in
-blocks of a fixed size, each broadcast and run against all candidates; nothing else leaves the executors whole.
+in which the first coordinates carry most of an inner product. Candidates are range-partitioned by descending norm into shards
+of bounded size, and a shard is processed in that order in blocks. For a block and a query, ``|q| * |longest|`` bounds all
+products (the rest of the shard is skipped), then the partial product over the first rotated coordinates plus the Cauchy-Schwarz
+bound ``|rest of q| * |rest of x|`` of the others bounds each one. What is left is multiplied in integers, so results are exact.
+
+The shard of the longest vectors is searched first and gives every query a floor. In a second job a query goes on only to those shards
+whose longest vector can still reach its floor; they are a run from the front. Neither queries nor candidates pass through the
+driver, which learns one norm a shard (8 bytes for every 8 MB of vectors).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
-from .common import longs, map_arrow, partitions_for, pick, share
+from .common import longs, map_arrow, partitions_for, share, stored
+from .shards import finite_vectors, integers, largest, matrix, number_of_shards, numbered, products, search_shards
 
-SCALE = 256
-#: Components are held within this; beyond it products would leave 64 bits.
-MOST = 2.0**28
-#: Queries broadcast at once, candidates compared at once, rows searched first for the floor.
-QUERY_BLOCK, ROW_BLOCK, HEAD_ROWS = 50_000, 4_096, 20_000
-QUERIES_AT_ONCE = 512
-LEADING = 24
+#: Candidates compared at once, and rotated coordinates that are multiplied first.
+ROW_BLOCK, LEADING = 2_048, 24
+#: Queries of a block that meets the longest vectors.
+QUERY_BLOCK = 512
+FOUND = "no long, query_id long, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, key: str, values: str) -> DataFrame:
-    """``id, x, norm``: ``floor(256 * component)`` of each vector that takes part.
+    """``no, id, x, norm``: ``floor(256 * component)`` of each vector that takes part, as doubles that hold the integers.
 
-    A vector that is null, or holds a null or non-finite component, takes no part. One without components does;
+    A null id or vector, or one with a null or non-finite component, takes no part. A vector without components does;
     its products are 0.
     """
-    rows = pick(vectors, key, values).toDF("id", "v")
-    wrong = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    clipped = F.transform(
-        "v", lambda x: F.least(F.greatest(F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("double"), F.lit(-MOST)), F.lit(MOST)).cast("long")
-    )
-    kept = rows.where(F.col("v").isNotNull() & ~wrong).select("id", clipped.alias("x"))
-    square = F.aggregate("x", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return kept.withColumn("norm", F.sqrt(square))
-
-
-def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows of integers; missing trailing components are 0."""
-    out = np.zeros((len(column), dims), np.int64)
-    flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.int64)
-    n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(n) and (n == dims).all():
-        return flat.reshape(-1, dims)
-    rows = np.repeat(np.arange(len(n)), n)
-    out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
-    return out
+    rows = finite_vectors(vectors, key, values).select("id", integers().alias("x"))
+    square = F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)
+    return numbered(rows.withColumn("norm", F.sqrt(square)))
 
 
 def second_moments(vectors: DataFrame, dims: int) -> np.ndarray:
     """Sum of x xᵀ over all vectors: one row of ``dims`` numbers for each coordinate."""
 
     def run(batch):
-        x = matrix(batch.column(0), dims).astype(float)
+        x = matrix(batch.column(0), dims)
         m = x.T @ x
         return [longs(np.arange(dims)), pa.array(list(m), pa.list_(pa.float64()))]
 
@@ -74,58 +55,51 @@ def second_moments(vectors: DataFrame, dims: int) -> np.ndarray:
     return out
 
 
-class Queries:
-    """A block of queries, rotated, with the score each result must reach."""
-
-    def __init__(self, ids, x, basis, floor):
-        self.ids, self.x, self.floor = ids, x, floor
-        rotated = x.astype(float) @ basis
-        self.norm = np.sqrt((rotated**2).sum(axis=1))
-        self.lead, self.rest = split(rotated)
-
-
 def split(rotated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return rotated[:, :LEADING], np.sqrt((rotated[:, LEADING:] ** 2).sum(axis=1))
-
-
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: highest score, then smallest id."""
-    if len(scores) > 4 * k:
-        limit = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= limit)
-        return at[np.lexsort((ids[at], -scores[at]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
-
-
-def search_rows(q: Queries, ids: np.ndarray, x: np.ndarray, basis: np.ndarray, k: int) -> dict[int, tuple]:
-    """For each query with a result: ids and scores of its k best rows here that reach its floor."""
-    order = np.argsort(-np.sqrt((x.astype(float) ** 2).sum(axis=1)), kind="stable")
-    ids, x = ids[order], x[order]
-    rotated = x.astype(float) @ basis
-    norm = np.sqrt((rotated**2).sum(axis=1))
-    lead, rest = split(rotated)
-    floor = q.floor.copy()
-    held: dict[int, tuple] = {}
-    for a in range(0, len(ids), ROW_BLOCK):
-        rows = slice(a, a + ROW_BLOCK)
-        slack = 1e-6 * (1 + q.norm * norm[a])
-        alive = np.flatnonzero(q.norm * norm[a] + slack >= floor)
-        for b in range(0, len(alive), QUERIES_AT_ONCE):
-            at = alive[b : b + QUERIES_AT_ONCE]
-            bound = q.lead[at] @ lead[rows].T + q.rest[at, None] * rest[None, rows] + slack[at, None]
-            bound[q.ids[at, None] == ids[None, rows]] = -np.inf
-            for i, reach in zip(at.tolist(), bound >= floor[at, None], strict=True):
-                found = np.flatnonzero(reach) + a
-                if not len(found):
-                    continue
-                scores, names = x[found] @ q.x[i], ids[found]
-                if i in held:
-                    scores, names = np.concatenate([held[i][1], scores]), np.concatenate([held[i][0], names])
-                top = best(scores, names, k)
-                held[i] = names[top], scores[top]
-                if len(top) == k:
-                    floor[i] = max(floor[i], float(scores[top[-1]]))
-    return held
+    return rotated[..., :LEADING], np.sqrt((rotated[..., LEADING:] ** 2).sum(axis=-1))
+
+
+class NormSorted:
+    """Rows of a shard by descending norm, with their leading rotated coordinates."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, basis: np.ndarray, k: int):
+        norm = np.sqrt((x * x).sum(axis=1))
+        order = np.lexsort((ids, -norm))
+        self.ids, self.x, self.norm, self.basis, self.k = ids[order], x[order], norm[order], basis, k
+        self.lead, self.rest = split(self.x @ basis)
+
+    def best(self, own: int, query: np.ndarray, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the ``k`` best rows that reach the floor; a query's own id is none."""
+        lead, rest = split(query @ self.basis)
+        length = float(np.sqrt(query @ query))
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a in range(0, len(self.ids), ROW_BLOCK):
+            most = length * self.norm[a]
+            slack = 1e-6 * (1 + most)
+            if floor is not None and most + slack < floor:
+                break
+            rows = slice(a, a + ROW_BLOCK)
+            able = self.ids[rows] != own
+            if floor is not None:
+                able &= self.lead[rows] @ lead + rest * self.rest[rows] + slack >= floor
+            at = np.flatnonzero(able) + a
+            if not len(at):
+                continue
+            ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, products(self.x[at], query, most)])
+            top = np.lexsort((ids, -scores))[: self.k]
+            ids, scores = ids[top], scores[top]
+            if len(top) == self.k:
+                floor = int(scores[-1]) if floor is None else max(floor, int(scores[-1]))
+        return ids, scores
+
+    def search(self, ids: np.ndarray, x: np.ndarray, more: pa.Array) -> pa.RecordBatch:
+        """``more``: the query's number and, if known, its floor."""
+        found = []
+        for own, query, (no, *floor) in zip(ids.tolist(), x, more.to_pylist(), strict=True):
+            names, scores = self.best(own, query, floor[0] if floor else None)
+            found.append((np.full(len(names), no), np.full(len(names), own), names, scores))
+        columns = [longs(np.concatenate([f[j] for f in found])) for j in range(4)] if found else [longs([])] * 4
+        return pa.RecordBatch.from_arrays(columns, ["no", "query_id", "vec_id", "score"])
 
 
 def top_k(
@@ -133,61 +107,57 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` highest integer inner products of each query row.
 
-    A query's own id is no candidate. Equal scores go to the smaller id; a candidate that occurs in several
-    rows may be found as often. Fewer candidates than ``k`` give fewer rows. Null ids take no part.
+    A query's own id is no candidate. Equal scores go to the smaller id. A candidate that occurs in several rows may be
+    found as often, and each row of a repeated query is asked for itself. Fewer candidates than ``k`` give fewer rows,
+    empty tables none. Null ids take no part; shorter vectors are filled up with zeros; other columns are not looked at.
+    Components may be of any size: products are exact, and one that 64 bits cannot hold raises.
     """
-    spark = vectors.sparkSession
-    rows = checkpoint(integer_vectors(vectors, key, values).where("id IS NOT NULL"))
-    asked = checkpoint(integer_vectors(queries, key, values).where("id IS NOT NULL"))
-    n, dims, longest = rows.agg(F.count("*"), F.max(F.size("x")), F.max("norm")).first()
-    schema = "query_id long, vec_id long, score long"
-    n_queries, query_dims = asked.agg(F.count("*"), F.max(F.size("x"))).first()
-    dims = max(dims or 0, query_dims or 0)
-    if not n or not n_queries:
-        return ranked(spark.createDataFrame([], schema), k)
+    rows, asked = integer_vectors(vectors, key, values), integer_vectors(queries, key, values)
+    spark, dims = rows.sparkSession, largest(rows, asked)
+    n_shards = number_of_shards(rows.count(), dims)
     basis = np.linalg.eigh(second_moments(rows, dims))[1][:, ::-1] if dims else np.zeros((0, 0))
-    parts = partitions_for(rows)
-    sorted_ = checkpoint(rows.repartitionByRange(parts, F.col("norm").desc(), "id"))
-    cut = rows.select(F.expr(f"percentile_approx(norm, {max(0.0, 1 - HEAD_ROWS / n)!r}, 10000)")).first()[0]
-    head = head_rows(rows, cut, dims)
-    n_blocks = 1 + (n_queries - 1) // QUERY_BLOCK
-    found = []
-    for block in range(n_blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).toArrow()
-        ids = mine.column("id").to_numpy()
-        x = matrix(mine.column("x").combine_chunks(), dims)
-        q = Queries(ids, x, basis, np.full(len(ids), np.finfo(float).min))
-        first = search_rows(q, *head, basis, k) if len(head[0]) else {}
-        for i, (_, scores) in first.items():
-            if len(scores) == k:
-                q.floor[i] = scores[-1]
-        shared = share(spark, (q, basis))
-
-        def run(batches, shared=shared):
-            q, basis = shared()
-            for batch in batches:
-                got = search_rows(q, batch.column(0).to_numpy(), matrix(batch.column(1), dims), basis, k)
-                lengths = [len(v[0]) for v in got.values()]
-                names = np.repeat(q.ids[list(got)], lengths) if got else np.zeros(0, np.int64)
-                join = lambda j: np.concatenate([v[j] for v in got.values()]) if got else np.zeros(0, np.int64)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([longs(names), longs(join(0)), longs(join(1))], ["query_id", "vec_id", "score"])
-
-        part = sorted_.select("id", "x").mapInArrow(run, schema)
-        found.append(checkpoint(part) if n_blocks > 1 else part)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return ranked(out, k)
-
-
-def head_rows(rows: DataFrame, cut: float, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``HEAD_ROWS`` of the longest vectors; only the floors they give are used, which any rows may give."""
-    taken: pd.DataFrame | pa.Table = rows.where(F.col("norm") >= cut).select("id", "x").limit(HEAD_ROWS).toArrow()
-    return taken.column("id").to_numpy(), matrix(taken.column("x").combine_chunks(), dims)
+    by_norm = rows.repartitionByRange(n_shards, F.col("norm").desc(), "id", "no")
+    by_norm = stored(by_norm.select("id", "x", "norm", F.spark_partition_id().cast("long").alias("shard"), F.array().cast("array<long>").alias("more")))
+    norms = sorted(map(tuple, by_norm.groupBy("shard").agg(F.max("norm")).collect()))
+    if not norms:
+        return ranked(spark.createDataFrame([], FOUND), k)
+    numbers, most = np.array([s for s, _ in norms]), np.array([m for _, m in norms])
+    parts = max(partitions_for(rows), len(norms))
+
+    def search(to_ask: DataFrame, candidates: DataFrame) -> DataFrame:
+        return search_shards(candidates, to_ask, lambda ids, x, more: NormSorted(ids, x, basis, k), FOUND, parts, dims)
+
+    first = int(numbers[0])
+    # the first shard is copied for each block of queries, so that no task gets them all
+    n_blocks = 1 + asked.count() // QUERY_BLOCK
+    block = F.pmod(F.xxhash64("no"), F.lit(n_blocks).cast("long")).alias("shard")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("shard")
+    front = by_norm.where(F.col("shard") == first).select("id", "x", "more", blocks)
+    head = stored(search(asked.select("no", "id", "x", F.array("no").alias("more"), block), front))
+    floors = head.groupBy("no").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k)
+    known = asked.join(floors.select("no", "floor"), "no", "left")
+    shared = share(spark, (numbers, most))
+
+    def onward(batches):
+        numbers, most = shared()
+        for batch in batches:
+            floor = batch.column(1).to_numpy(zero_copy_only=False).astype(float)  # null: every shard
+            norm = batch.column(2).to_numpy()
+            reach = norm * (1 + 1e-6)
+            last = [int(np.searchsorted(-most * r, -(f - 1), "right")) if f == f else len(most) for f, r in zip(floor, reach, strict=True)]
+            shards = [numbers[1:n].tolist() for n in last]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shards, pa.list_(pa.int64()))], ["no", "shards"])
+
+    routes = known.select("no", "floor", "norm").mapInArrow(onward, "no long, shards array<long>")
+    routes = routes.select("no", F.explode("shards").alias("shard"))
+    more = F.when(F.col("floor").isNull(), F.array("no")).otherwise(F.array("no", "floor"))
+    to_ask = known.join(routes, "no").withColumn("more", more)
+    rest = search(to_ask, by_norm.where(F.col("shard") != first))
+    return ranked(head.unionByName(rest), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("no").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from answerframe.llm import topk
+from answerframe.llm import shards, topk
 from answerframe.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -32,8 +32,10 @@ def test_query_equals_brute_force(spark, sf_small):
 @pytest.mark.parametrize("seed", range(3))
 def test_blocks_ties_and_odd_vectors(spark, seed, monkeypatch):
     """Small blocks, few distinct values, uneven lengths of vectors, many equal rows, nulls and infinities."""
-    for name, value in (("QUERY_BLOCK", 7), ("ROW_BLOCK", 5), ("HEAD_ROWS", 9), ("QUERIES_AT_ONCE", 3), ("LEADING", 2)):
-        monkeypatch.setattr(topk, name, value)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 5)
+    monkeypatch.setattr(topk, "LEADING", 2)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(shards, "SHARD_BYTES", 1 << 23 if seed == 0 else 1500)
     rng = np.random.default_rng(seed)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 8]) for i in range(150)]
     rows += [(i, [0.5] * 6) for i in range(150, 210)]
@@ -59,3 +61,31 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(9)], SCHEMA)
     odd = df.select(*[F.lit(1).alias(n) for n in ("id", "x", "norm", "score", "EMBEDDING", "a.b")], "*")
     assert sorted(topk.top_k(odd, odd).collect()) == sorted(topk.top_k(df, df).collect())
+
+
+def test_large_components_are_exact_or_raise(spark):
+    """No component is cut off; products beyond doubles are exact; what 64 bits cannot hold raises and does not wrap."""
+    rows = [(0, [2.0**21] * 4), (50, [2.0**21, 2.0**21, 2.0**21, 2.0**20]), (2, [2.0**20] * 4), (3, [2.0**20, 2.0**20, 2.0**20, 2.0**20 + 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect()))
+    ints = {i: [int(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert got == want
+    over = spark.createDataFrame([(i, [2.0**20] * 128) for i in range(2)], SCHEMA)
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(over, over).collect()
+
+
+def test_queries_of_many_dimensions_stop_early(spark, monkeypatch):
+    """512 dimensions, many shards, long vectors far ahead: only shards that can reach a floor see a query."""
+    monkeypatch.setattr(shards, "SHARD_BYTES", 1 << 17)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 512)) * np.where(np.arange(400) < 40, 10, 0.01)[:, None]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(np.float32(x))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = [r for r in rows if r[0] % 50 == 0]
+    got = sorted(map(tuple, topk.top_k(df, spark.createDataFrame(asked, SCHEMA)).collect()))
+    assert got == brute(rows, asked)
