@@ -22,7 +22,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 42
 WORD = r"[^\x20\x09-\x0D]+"
-#: Cells of the dynamic programme's table, at most.
+#: Cells of the dynamic programme's table, at most; larger rests are first filled with large documents.
 DP_CELLS = 2_000_000
 #: Rows of one source and size that a hash bucket holds on average.
 BUCKET_ROWS = 2_000
@@ -56,7 +56,7 @@ def choose_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
-    margin = min(budget, 2 * min(int(sizes.max()), DP_CELLS // 4) + 64)
+    margin = min(budget, 2 * int(sizes.max()) + 64)
     taken = np.floor(counts * ((budget - margin) / total)).astype(np.int64)
     rest = budget - int((sizes * taken).sum())
     for i in np.argsort(-sizes, kind="stable"):  # flooring left up to one document of each size
@@ -64,7 +64,21 @@ def choose_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             more = min(int(counts[i] - taken[i]), (rest - margin) // int(sizes[i]))
             taken[i] += more
             rest -= more * int(sizes[i])
-    return taken + knapsack(sizes, counts - taken, min(rest, DP_CELLS))
+    # what the table cannot reach: whole documents from the largest size down, until the rest is within its reach
+    for i in np.argsort(-sizes, kind="stable") if rest > DP_CELLS else ():
+        if 0 < sizes[i] <= rest and counts[i] > taken[i]:
+            more = min(int(counts[i] - taken[i]), rest // int(sizes[i]))
+            taken[i] += more
+            rest -= more * int(sizes[i])
+        if rest <= DP_CELLS:
+            break
+    if rest <= DP_CELLS:
+        return taken + knapsack(sizes, counts - taken, rest)
+    left = np.flatnonzero((counts > taken) & (sizes > 0))  # all of them larger than the rest
+    if len(left):
+        i = left[np.argmin(sizes[left])]
+        taken[i] += int(sizes[i]) - rest < rest
+    return taken
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

@@ -56,6 +56,7 @@ def op3_fingerprints(spark, sf):
 
 @query
 def op4_simhash(spark, sf):
+    """Fingerprint of each document and the smallest id that near fingerprints reach."""
     found = simhash.near_groups(documents(spark, sf))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
@@ -81,6 +82,7 @@ def op6_packing(spark, sf):
 
 @query
 def op7_line_dedup(spark, sf):
+    """Each document without the lines found in ten or more documents."""
     docs = documents(spark, sf)
     kept = linededup.LineIndex.build(docs, min_docs=10, min_chars=1).apply(docs)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -138,6 +140,7 @@ def op9_quality(spark, sf):
 
 @query
 def op10_mix(spark, sf):
+    """How many words of each document the mix to target weights takes."""
     mixed = mixing.mix(documents(spark, sf))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")

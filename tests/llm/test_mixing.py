@@ -85,3 +85,15 @@ def test_hot_group_of_equal_sizes(make, monkeypatch):
     docs = make([(i, f"same size text {i % 7}", "en", "hot" if i % 10 else "b") for i in range(3000)])
     rows = mixing.mix(docs).withColumn("taken", F.col("size") * F.col("repeats")).collect()
     assert check(rows, docs) < 0.01
+
+
+def test_documents_longer_than_the_table_reaches(monkeypatch):
+    """Three million words a document and a table of fifty cells alike: the sum is off by half the longest one at most."""
+    for cells, unit in ((50, 1), (2_000_000, 100_000)):
+        monkeypatch.setattr(mixing, "DP_CELLS", cells)
+        sizes, counts = np.array([30, 100]) * unit, np.array([3, 5])
+        sums = {int(a * sizes[0] + b * sizes[1]) for a in range(4) for b in range(6)}
+        for budget in range(0, 591 * unit, 10 * unit):
+            got = int((mixing.choose_counts(sizes, counts, budget) * sizes).sum())
+            best = min(abs(x - budget) for x in sums)
+            assert abs(got - budget) <= max(best, 50 * unit), (budget, got)  # half the longest document
