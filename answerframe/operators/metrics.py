@@ -55,6 +55,42 @@ def feature_target_corr(
     return wide.select(F.inline(rows)).withColumn("rank", F.row_number().over(order))
 
 
+def term_target_corr(cells: DataFrame, targets: DataFrame, id_col: str, names: Sequence[str]) -> DataFrame:
+    """``(term, target, n, r)``: Pearson r of every term's counts with every target, texts without the term counting as 0.
+
+    ``cells`` are ``(id, term, n)``, ``targets`` one row per text with the columns ``names``. No column per term is
+    built: Σx, Σx² and Σxy come from the cells there are, the rest from the targets' own sums. A text whose target is
+    null takes no part in that target, and ``n`` is how many do; cells of texts that ``targets`` lacks take no part at all.
+    ``r`` is null where a side does not vary. Targets are centred first, so that the sums do not cancel.
+    """
+    number = [F.col(t).cast("double") for t in names]
+    sizes = [f"_n{i}" for i in range(len(names))]
+    means = targets.agg(*[F.avg(y).alias(f"_m{i}") for i, y in enumerate(number)]).first()
+    centred = [y - F.lit(m) for y, m in zip(number, means, strict=True)]
+    rows = targets.select(id_col, *[y.alias(f"_y{i}") for i, y in enumerate(centred)])
+    totals = rows.agg(
+        *[F.count(f"_y{i}").alias(c) for i, c in enumerate(sizes)],
+        *[F.sum(F.col(f"_y{i}") * F.col(f"_y{i}")).alias(f"_s{i}") for i in range(len(names))],
+    ).first()
+    x = F.col("n").cast("double")
+    held = lambda i, value: F.sum(F.when(F.col(f"_y{i}").isNotNull(), value))
+    sums = cells.join(rows, id_col).groupBy("term").agg(
+        *[held(i, x).alias(f"_x{i}") for i in range(len(names))],
+        *[held(i, x * x).alias(f"_xx{i}") for i in range(len(names))],
+        *[held(i, x * F.col(f"_y{i}")).alias(f"_xy{i}") for i in range(len(names))],
+    )
+    found = []
+    for i, name in enumerate(names):
+        count, spread = totals[f"_n{i}"], totals[f"_s{i}"] or 0.0
+        some = F.coalesce(F.col(f"_x{i}"), F.lit(0.0))
+        wide = F.coalesce(F.col(f"_xx{i}"), F.lit(0.0)) - F.try_divide(some * some, F.lit(float(count)))
+        # whole counts: what is left of equal ones is rounding
+        varies = (wide > 1e-9 * (1 + F.coalesce(F.col(f"_xx{i}"), F.lit(0.0)))) & F.lit(spread > 0)
+        r = F.when(varies, F.col(f"_xy{i}") / F.sqrt(wide * F.lit(float(spread))))
+        found.append(F.struct(F.lit(name).alias("target"), F.lit(count).cast("long").alias("n"), r.alias("r")))
+    return sums.select("term", F.inline(F.array(*found)))
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Correlation over the rows where both are present; null without variance."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

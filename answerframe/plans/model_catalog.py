@@ -11,10 +11,12 @@ from ..functions.tokens import ngrams, terms2, without, words
 from ..operators import diversity as dv
 from ..operators import metrics
 from ..operators import split as sp
+from ..operators import terms as tm
 from ..operators import topics as tp
 from ..operators import vectors as vc
 from ..operators.grids import expand, linspace_ints
 from ..operators.linear_grid import cv_scores, moments
+from ..operators.svd import TfidfSvd
 from ..operators.tuning import Forest, GridSearch, Linear, TextGridSearch
 from ..session import checkpoint
 from ..sources.tables import TARGETS
@@ -171,6 +173,15 @@ def labelled_documents(spark, sf):
     )
 
 
+@query
+def term_target_corr(spark, sf):
+    """r of every word of the labelled documents with both labels."""
+    rows = labelled_documents(spark, sf)
+    cells = tm.word_counts(rows, "doc_id", "text")
+    found = metrics.term_target_corr(cells, rows, "doc_id", ["quality", "toxic"])
+    return found.select("term", "target", "n", F.round("r", 6).alias("r"))
+
+
 @query
 def tfidf_svd_search(spark, sf):
     """TF-IDF → SVD → ridge, the text part refitted inside every fold."""
@@ -178,7 +189,7 @@ def tfidf_svd_search(spark, sf):
     train, holdout = sp.part(rows, "Train"), sp.part(rows, "Dev", "Test")
 
     def prepare(fit, other):
-        pipeline = vc.TfidfSvd(terms2("text"), "doc_id", k=4, min_df=2).fit(fit)
+        pipeline = TfidfSvd(terms2("text"), "doc_id", k=4, min_df=2).fit(fit)
         return pipeline.transform(fit), pipeline.transform(other)
 
     search = TextGridSearch({"ridge": Linear("ridge")}, {"ridge": {"alpha": [0.1, 1.0, 10.0]}}, prepare)
@@ -188,11 +199,22 @@ def tfidf_svd_search(spark, sf):
 @query
 def svd_features(spark, sf):
     docs = documents(spark, sf)
-    return vc.TfidfSvd(terms2("text"), "doc_id", k=3, min_df=2).fit(docs).transform(docs).select(
+    return TfidfSvd(terms2("text"), "doc_id", k=3, min_df=2).fit(docs).transform(docs).select(
         "doc_id", *[F.col("text_features")[i].alias(f"svd_{i + 1}") for i in range(3)]
     )
 
 
+@query
+def svd_spectrum(spark, sf):
+    """The three largest singular values of all documents, and the squared length of each component over the documents."""
+    docs = documents(spark, sf)
+    model = TfidfSvd(terms2("text"), "doc_id", k=3, min_df=2, tolerance=1e-10).fit(docs)
+    squares = [F.sum(F.pow(F.col("text_features")[j], 2)) for j in range(3)]
+    rows = [F.struct(F.lit(j + 1).alias("component"), F.lit(float(s)).alias("sigma"), q.alias("energy")) for j, (s, q) in enumerate(zip(model.singular_values, squares, strict=True))]
+    found = model.transform(docs).agg(F.array(*rows).alias("r")).select(F.inline("r"))
+    return found.select("component", F.round("sigma", 4).alias("sigma"), F.round("energy", 3).alias("energy"))
+
+
 @query
 def doc_vectors(spark, sf):
     """Mean word vectors after ten epochs; words of fewer than five occurrences have none."""

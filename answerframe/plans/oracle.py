@@ -668,3 +668,49 @@ JOIN ra USING (respondent_id) JOIN cw USING (respondent_id) JOIN d ON d.doc_id =
 JOIN em ON em.doc_id = a.respondent_id JOIN er ON er.doc_id = a.respondent_id
 JOIN pr ON pr.doc_id = a.respondent_id JOIN sr USING (respondent_id) JOIN ss USING (respondent_id)
 JOIN ld USING (respondent_id)"""
+
+
+def orthogonal_iteration(steps: int) -> str:
+    """``s{steps}(r11, r22, r33)`` from ``unit(doc_id, term, w)``: the squares of the three largest singular values."""
+    columns = "abc"
+    start = ", ".join(f"hash(term || '{c}') % 1000003 / 1000003.0 - 0.5 AS {c}" for c in columns)
+    sums = ", ".join(f"sum(w * {c}) AS {c}" for c in columns)
+    parts = [f"z0 AS MATERIALIZED (SELECT term, {start} FROM (SELECT DISTINCT term FROM unit))"]
+    for i in range(1, steps + 1):
+        parts += [
+            f"y{i} AS MATERIALIZED (SELECT doc_id, {sums} FROM unit JOIN z{i - 1} USING (term) GROUP BY doc_id)",
+            f"x{i} AS MATERIALIZED (SELECT term, {sums} FROM unit JOIN y{i} USING (doc_id) GROUP BY term)",
+            f"g{i} AS (SELECT sqrt(sum(a * a)) AS r11, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, "
+            f"sum(b * c) AS bc, sum(c * c) AS cc FROM x{i})",
+            f"h{i} AS (SELECT *, ab / r11 AS r12, ac / r11 AS r13, sqrt(bb - (ab / r11) ** 2) AS r22 FROM g{i})",
+            f"k{i} AS (SELECT *, (bc - r12 * r13) / r22 AS r23 FROM h{i})",
+            f"s{i} AS MATERIALIZED (SELECT *, sqrt(cc - r13 ** 2 - r23 ** 2) AS r33 FROM k{i})",
+            f"p{i} AS (SELECT term, a / r11 AS a, (b - r12 * a / r11) / r22 AS b, c FROM x{i}, s{i})",
+            f"z{i} AS MATERIALIZED (SELECT term, a, b, (c - r13 * a - r23 * b) / r33 AS c FROM p{i}, s{i})",
+        ]
+    return ",\n".join(parts)
+
+
+SVD_STEPS = 70
+ORACLE["svd_spectrum"] = f"""
+WITH {_TERM2}, grams AS (SELECT doc_id, unnest(w) AS term FROM tok), {GRAM_CELLS}, vocab AS (
+  SELECT term, count(*) AS doc_count FROM cells GROUP BY term HAVING count(*) >= 2), weighted AS (
+  SELECT doc_id, term, n * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + doc_count)) + 1) AS raw
+  FROM cells JOIN vocab USING (term)),
+unit AS MATERIALIZED (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM weighted),
+{orthogonal_iteration(SVD_STEPS)}
+SELECT component, round(sqrt(square), 4) AS sigma, round(square, 3) AS energy
+FROM (SELECT unnest([1, 2, 3]) AS component, unnest([r11, r22, r33]) AS square FROM s{SVD_STEPS})"""
+
+# The whole column of counts, zeros too, against each label.
+ORACLE["term_target_corr"] = f"""
+WITH {CELLS}, marked AS (SELECT doc_id, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic
+  FROM documents JOIN labels USING (doc_id)),
+held AS (SELECT c.* FROM cells c JOIN marked USING (doc_id)),
+dense AS (SELECT term, m.doc_id, quality, toxic, coalesce(n, 0)::DOUBLE AS x
+  FROM (SELECT DISTINCT term FROM held) CROSS JOIN marked m LEFT JOIN held USING (term, doc_id)),
+found AS (SELECT term, target, count(y) AS n,
+  CASE WHEN stddev_pop(CASE WHEN y IS NOT NULL THEN x END) > 1e-7 AND stddev_pop(y) > 0 THEN corr(y, x) END AS r
+  FROM (SELECT term, x, unnest(['quality', 'toxic']) AS target, unnest([quality, toxic]) AS y FROM dense)
+  GROUP BY term, target)
+SELECT term, target, n, round(r, 6) AS r FROM found"""

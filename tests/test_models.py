@@ -12,9 +12,11 @@ from answerframe.functions.tokens import terms2, words
 from answerframe.operators import linear_grid as lg
 from answerframe.operators import metrics
 from answerframe.operators import split as sp
+from answerframe.operators import svd
 from answerframe.operators import topics as tp
 from answerframe.operators import tuning as tn
 from answerframe.operators import vectors as vc
+from answerframe.operators.svd import TfidfSvd
 from answerframe.operators.grids import check_grids, expand, linspace_ints, logspace
 from answerframe.plans import tuning_run
 
@@ -171,7 +173,7 @@ def test_text_search_fits_inside_folds(spark):
 
     def prepare(fit, other):
         seen.append(sorted({r.fold for r in fit.select("fold").distinct().collect()}))
-        pipe = vc.TfidfSvd(terms2("text"), "id", k=2).fit(fit)
+        pipe = TfidfSvd(terms2("text"), "id", k=2).fit(fit)
         return pipe.transform(fit), pipe.transform(other)
 
     search = tn.TextGridSearch({"ridge": tn.Linear("ridge")}, {"ridge": {"alpha": [0.1]}}, prepare)
@@ -189,7 +191,7 @@ def test_metrics_with_constant_predictions(spark):
 def test_svd_against_numpy(spark):
     texts = [f"aa bb cc{i % 4} dd{i % 7} " * (1 + i % 3) for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    model = vc.TfidfSvd(terms2("t"), "id", k=3).fit(df)
+    model = TfidfSvd(terms2("t"), "id", k=3).fit(df)
     tokens = [t.split() for t in texts]
     vocab = sorted({w for row in tokens for w in row})
     A = np.array([[row.count(w) for w in vocab] for row in tokens], dtype=float)
@@ -201,6 +203,55 @@ def test_svd_against_numpy(spark):
     assert np.allclose(np.abs(got), np.abs(U[:, :3] * s[:3]), atol=1e-5)
 
 
+def test_svd_does_not_depend_on_parts(spark, monkeypatch):
+    texts = [f"aa bb cc{i % 4} dd{i % 7} " * (1 + i % 3) + f"ee{i % 11}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = []
+    for numbers, parts in ((8_000_000, 1), (200, 9)):
+        monkeypatch.setattr(svd, "PART_NUMBERS", numbers)
+        model = TfidfSvd(terms2("t"), "id", k=3, iterations=4).fit(df.repartition(parts))
+        found.append(np.array([r.text_features for r in model.transform(df).orderBy("id").collect()]))
+    assert np.allclose(found[0], found[1], atol=1e-6)
+
+
+def test_svd_of_little(spark):
+    """Rank below k, texts without a word, null texts, and no text at all."""
+    df = spark.createDataFrame([(1, "aa bb"), (2, "aa bb aa bb"), (3, ""), (4, None), (None, "aa bb")], "id long, t string")
+    model = TfidfSvd(terms2("t"), "id", k=3).fit(df)
+    assert np.allclose(model.singular_values, [3**0.5, 0, 0], atol=1e-6)
+    got = {r.id: r.text_features for r in model.transform(df).collect()}
+    assert len(got) == 5
+    assert all(np.allclose(got[i], [1, 0, 0], atol=1e-6) for i in (1, 2, None))
+    assert got[3] == got[4] == [0.0, 0.0, 0.0]
+    unseen = spark.createDataFrame([(7, "zz")], "id long, t string")
+    assert model.transform(unseen).first().text_features == [0.0, 0.0, 0.0]
+    empty = TfidfSvd(terms2("t"), "id", k=2).fit(df.limit(0))
+    assert empty.transform(df).first().text_features == [0.0, 0.0]
+
+
+def test_term_target_corr_against_dense_columns(spark):
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(0.7, size=(30, 4))
+    counts[:, 3] = 2
+    y, z = rng.normal(1e6, 1, 30), rng.normal(size=30)
+    z[:5] = np.nan
+    cells = [(i, f"w{j}", int(counts[i, j])) for i in range(30) for j in range(4) if counts[i, j]]
+    rows = [(i, float(y[i]), None if np.isnan(z[i]) else float(z[i]), 3.0) for i in range(30)]
+    got = metrics.term_target_corr(
+        spark.createDataFrame([*cells, (99, "w0", 50)], "id long, term string, n long"),
+        spark.createDataFrame(rows, "id long, y double, z double, flat double"), "id", ["y", "z", "flat"],
+    ).collect()
+    assert len(got) == 12
+    for r in got:
+        j = int(r.term[1])
+        side = {"y": y, "z": z}.get(r.target)
+        if side is None or j == 3:
+            assert r.r is None
+            continue
+        some = ~np.isnan(side)
+        assert r.n == some.sum() and abs(r.r - np.corrcoef(counts[some, j], side[some])[0, 1]) < 1e-8
+
+
 @pytest.mark.parametrize("hidden", [None, 4])
 def test_head_gradient(hidden):
     rng = np.random.default_rng(1)
