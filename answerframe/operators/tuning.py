@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from . import metrics
 from .grids import check_grids, expand
-from .linear_grid import cv_scores, feature_array, linear_prediction, moments, solve
+from .linear_free import FreeSearch, sparse_rows
+from .linear_grid import MAX_DOUBLES, cv_scores, feature_array, linear_column, linear_prediction, moments, solve
 
 Score = tuple[int, int, str, int, float, float]  # candidate, fold, target, n, r2, mse
 
@@ -43,7 +44,10 @@ class Model(Protocol):
 
 
 class Linear:
-    """Ridge (``alpha``) or elastic net (``alpha``, ``l1_ratio``) from one pass of sums."""
+    """Ridge (``alpha``) or elastic net (``alpha``, ``l1_ratio``).
+
+    Scores come from one pass of sums where folds × columns² of them fit, else from the search without them.
+    """
 
     def __init__(self, kind: str):
         names = {"ridge": ["alpha"], "elastic": ["alpha", "l1_ratio", "max_iter"]}[kind]
@@ -56,7 +60,24 @@ class Linear:
             raise ValueError(f"grid needs {sorted(self.required)}")
         return expand(grid)
 
+    @staticmethod
+    def _free(train, features, targets) -> FreeSearch | None:
+        """The search without cross products, if their sums are too many."""
+        sizes = [F.countDistinct("fold").alias("folds")]
+        if isinstance(features, str):
+            sizes.append(F.max(F.size(features)).alias("width"))
+        found = train.agg(*sizes).first()
+        width = (found["width"] or 0) if isinstance(features, str) else len(features)
+        if found["folds"] * (width + len(targets)) ** 2 <= MAX_DOUBLES:
+            return None
+        return FreeSearch(sparse_rows(train, features, targets), width, targets)
+
     def fold_scores(self, train, features, targets, candidates):
+        free = self._free(train, features, targets)
+        if free is not None:
+            scores = [tuple(r) for r in free.cv_scores(candidates).drop("left").collect()]
+            free.close()
+            return scores
         m = moments(train, features, targets)
         self._sums = (train, features, m)
         return [tuple(r) for r in cv_scores(train, m, candidates).collect()]
@@ -67,7 +88,13 @@ class Linear:
         if held and held[0] is train and held[1] == features and target in held[2].targets:
             m = held[2]
         else:
-            m = moments(train.withColumn("fold", F.lit(0)), features, [target])
+            train = train.withColumn("fold", F.lit(0))
+            free = self._free(train, features, [target])
+            if free is not None:
+                w, intercept = free.refit(params, target)
+                free.close()
+                return holdout.withColumn("pred", linear_column(features, w, intercept))
+            m = moments(train, features, [target])
         weights = solve(m, None, [params])[0]
         return holdout.withColumn("pred", linear_prediction(m, weights, features, target))
 
