@@ -15,6 +15,7 @@ from ..operators import terms as tm
 from ..operators import topics as tp
 from ..operators import vectors as vc
 from ..operators.grids import expand, linspace_ints
+from ..operators.linear_free import FreeSearch, sparse_rows, term_rows
 from ..operators.linear_grid import cv_scores, moments
 from ..operators.svd import TfidfSvd
 from ..operators.tuning import Forest, GridSearch, Linear, TextGridSearch
@@ -60,6 +61,16 @@ def ridge_grid(spark, sf):
     return means.select("alpha", "target", F.round("cv_r2", 7).alias("cv_r2"), relative("cv_neg_mse"))
 
 
+@query
+def ridge_free(spark, sf):
+    """The same search without cross products."""
+    search = FreeSearch(sparse_rows(line_folds(spark, sf), LINE_FEATURES, LINE_TARGETS), len(LINE_FEATURES), LINE_TARGETS)
+    grid = expand({"alpha": ALPHAS})
+    means = grid_means(search.cv_scores(grid), grid, ["alpha"])
+    search.close()
+    return means.select("alpha", "target", F.round("cv_r2", 7).alias("cv_r2"), relative("cv_neg_mse"))
+
+
 def relative(name, digits=7):
     """Ten significant digits are plenty for a sum of squares of any size."""
     return F.round(F.log(-F.col(name)), digits).alias("cv_log_mse")
@@ -182,6 +193,32 @@ def term_target_corr(spark, sf):
     return found.select("term", "target", "n", F.round("r", 6).alias("r"))
 
 
+def term_search(spark, sf, grid, names, unit):
+    """Cross-validated scores over every word of two labelled documents or more, without a cross product of words."""
+    texts = checkpoint(sp.hash_folds(labelled_documents(spark, sf), "doc_id", 3))
+    cells = tm.word_counts(texts, "doc_id", "text")
+    vocab = checkpoint(tm.number_terms(tm.trim_docfreq(tm.vocabulary(cells))))
+    targets = ["quality", "toxic"]
+    search = FreeSearch(term_rows(cells, vocab, texts, "doc_id", targets, unit=unit), vocab.count(), targets)
+    scores = search.cv_scores(grid)
+    search.close()
+    means = grid_means(scores, grid, names)
+    return means.select(*names, "target", F.round("cv_r2", 6).alias("cv_r2"), relative("cv_neg_mse", 6))
+
+
+@query
+def term_ridge(spark, sf):
+    """14 alphas × 3 folds × 2 labels over word counts of length 1; alpha 0 would only interpolate, with fewer texts than words."""
+    return term_search(spark, sf, expand({"alpha": ALPHAS[1:]}), ["alpha"], unit=True)
+
+
+@query
+def term_elastic(spark, sf):
+    """6 elastic nets × 3 folds × 2 labels over the word counts."""
+    grid = expand({"alpha": [0.3, 1.0, 1.8], "l1_ratio": [0.5, 1.0]})
+    return term_search(spark, sf, grid, ["alpha", "l1_ratio"], unit=False)
+
+
 @query
 def tfidf_svd_search(spark, sf):
     """TF-IDF → SVD → ridge, the text part refitted inside every fold."""

@@ -543,6 +543,8 @@ e AS (SELECT target, alpha, n, syy - sy * sy / n AS sst,
 SELECT alpha, target, round(sum(n * (1 - sse / sst)) / sum(n), 7) AS cv_r2,
   round(ln(sum(sse) / sum(n)), 7) AS cv_log_mse FROM e GROUP BY alpha, target"""
 
+ORACLE["ridge_free"] = ORACLE["ridge_grid"]
+
 # Two features: of the nine sign patterns' solutions, those with the pattern's signs are kept; the one with the
 # smallest objective is the optimum.
 _both = " UNION ALL ".join(
