@@ -193,13 +193,13 @@ def term_target_corr(spark, sf):
     return found.select("term", "target", "n", F.round("r", 6).alias("r"))
 
 
-def term_search(spark, sf, grid, names, unit):
-    """Cross-validated scores over every word of two labelled documents or more, without a cross product of words."""
+def term_search(spark, sf, grid, names):
+    """Cross-validated scores over every word of two labelled documents or more, texts of length 1, without word × word sums."""
     texts = checkpoint(sp.hash_folds(labelled_documents(spark, sf), "doc_id", 3))
     cells = tm.word_counts(texts, "doc_id", "text")
     vocab = checkpoint(tm.number_terms(tm.trim_docfreq(tm.vocabulary(cells))))
     targets = ["quality", "toxic"]
-    search = FreeSearch(term_rows(cells, vocab, texts, "doc_id", targets, unit=unit), vocab.count(), targets)
+    search = FreeSearch(term_rows(cells, vocab, texts, "doc_id", targets, unit=True), vocab.count(), targets)
     scores = search.cv_scores(grid)
     search.close()
     means = grid_means(scores, grid, names)
@@ -209,14 +209,7 @@ def term_search(spark, sf, grid, names, unit):
 @query
 def term_ridge(spark, sf):
     """14 alphas × 3 folds × 2 labels over word counts of length 1; alpha 0 would only interpolate, with fewer texts than words."""
-    return term_search(spark, sf, expand({"alpha": ALPHAS[1:]}), ["alpha"], unit=True)
-
-
-@query
-def term_elastic(spark, sf):
-    """6 elastic nets × 3 folds × 2 labels over the word counts."""
-    grid = expand({"alpha": [0.3, 1.0, 1.8], "l1_ratio": [0.5, 1.0]})
-    return term_search(spark, sf, grid, ["alpha", "l1_ratio"], unit=False)
+    return term_search(spark, sf, expand({"alpha": ALPHAS[1:]}), ["alpha"])
 
 
 @query
