@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,13 @@ def test_repartitioning_changes_nothing(spark):
     key = lambda r: (r.id, r.term)
     for a, b in zip(sorted(one.collect(), key=key), sorted(many.collect(), key=key), strict=True):
         assert (a.id, a.term, a.n) == (b.id, b.term, b.n) and a.tfidf == pytest.approx(b.tfidf)
+
+
+def test_wide_counts_map_holds_named_terms_only(spark, capsys):
+    """A lookup reads the map from its start, so terms without a column must not be in it."""
+    df = spark.createDataFrame([(1, "a b a c d"), (2, "d e"), (3, ""), (4, None)], "id int, t string")
+    wide = tm.wide_counts(df, "id", words("t"), ["a", "d", "x"], "n_")
+    assert {tuple(r) for r in wide.collect()} == {(1, 2, 1, 0), (2, 0, 1, 0), (3, 0, 0, 0), (4, 0, 0, 0)}
+    wide.explain("formatted")
+    assert re.search(r"filter\(regexp_extract_all\(.*? IN \(a,d,x\)", capsys.readouterr().out)
+    assert tm.wide_counts(df, "id", words("t"), []).columns == ["id"]
