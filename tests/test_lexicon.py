@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from answerframe.functions.tokens import words
+from answerframe.functions.tokens import ngrams, words
 from answerframe.operators import joins
 from answerframe.operators import lexicon as lx
 from answerframe.operators import sentiment as sn
@@ -183,3 +183,17 @@ def test_wide_counts_map_holds_named_terms_only(spark, capsys):
     wide.explain("formatted")
     assert re.search(r"filter\(regexp_extract_all\(.*? IN \(a,d,x\)", capsys.readouterr().out)
     assert tm.wide_counts(df, "id", words("t"), []).columns == ["id"]
+
+
+@pytest.mark.parametrize("at_once", [200_000, 3])
+def test_gram_counts_equal_expressions(spark, monkeypatch, at_once):
+    """Arrow counts against the expressions, with texts shorter than the order, repeats, null ids and tokens that hold the separator."""
+    monkeypatch.setattr(tm, "TOKENS_AT_ONCE", at_once)
+    rows = [(1, "a b a b a"), (2, "a_b c a b_c a_b c"), (None, "x"), (3, ""), (4, None), (1, "é É ß b"), (5, "w " * 40)]
+    df = spark.createDataFrame(rows, "id int, t string").coalesce(1)
+    tokens = F.split(F.trim("t"), " ")
+    for low, high, sep in [(1, 5, "_"), (2, 3, " "), (1, 1, "_"), (3, 4, "")]:
+        grams = tm.gram_counts(df, ["id"], tokens, low, high, sep)
+        assert "Generate" not in grams._jdf.queryExecution().toString()
+        want = tm.term_counts(df, ["id"], ngrams(tokens, low, high, sep))
+        assert sorted(map(str, grams.collect())) == sorted(map(str, want.collect()))
