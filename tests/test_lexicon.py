@@ -197,3 +197,23 @@ def test_gram_counts_equal_expressions(spark, monkeypatch, at_once):
         assert "Generate" not in grams._jdf.queryExecution().toString()
         want = tm.term_counts(df, ["id"], ngrams(tokens, low, high, sep))
         assert sorted(map(str, grams.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_weightings_count_a_text_once(spark, monkeypatch, rows):
+    """Nothing past the written cells reads texts again, with a vocabulary that is broadcast and one that is not."""
+    monkeypatch.setattr(joins, "VOCABULARY_ROWS", rows)
+    df = texts(spark, "a b a", "b c", "", None, "b " * 9)
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    log10 = tm.tfidf_log10(tm.word_counts(df.mapInArrow(seen, df.schema), "id", "t"), df)
+    got = {(r.id, r.term): round(r.weight, 6) for r in log10.collect()}
+    assert got == {(1, "a"): 1.39794, (1, "b"): 0.221849, (2, "b"): 0.221849, (2, "c"): 0.69897, (5, "b"): 1.996639}
+    assert calls.value == 5
+    smooth = tm.tfidf_smooth_l2(tm.word_counts(df.mapInArrow(seen, df.schema), "id", "t"), df, "id")
+    assert {(r.id, r.term) for r in smooth.collect()} == set(got) and calls.value == 10
