@@ -83,9 +83,17 @@ def match_patterns(
 
     Only prefixes of a length some pattern has are tried, by equality. Nothing
     compares each term with each pattern. ``extra`` adds ready patterns.
+    Terms that begin like no pattern stop first, by one equality: no prefix that
+    matches is shorter than the shortest wildcard.
     """
     minimal = minimal_patterns(lexicon)
     minimal = minimal if extra is None else minimal.unionByName(extra)
+    shortest = F.min(F.when(F.endswith("pattern", F.lit("*")), F.length("pattern") - 1))
+    head = F.coalesce(minimal.agg(shortest).scalar(), F.lit(2**31 - 1))
+    heads = minimal.select(F.regexp_replace("pattern", r"\*$", "").alias("_text"))
+    heads = heads.select(F.substring("_text", F.lit(1), head).alias("_head")).distinct()
+    begun = cells.withColumn("_head", F.substring("term", F.lit(1), head))
+    cells = lookup(begun, heads, "_head", "left_semi").drop("_head")
     by_pattern = minimal.groupBy("pattern").agg(
         F.collect_set(F.struct("dict", "category")).alias("_hits")
     )

@@ -217,3 +217,27 @@ def test_weightings_count_a_text_once(spark, monkeypatch, rows):
     assert calls.value == 5
     smooth = tm.tfidf_smooth_l2(tm.word_counts(df.mapInArrow(seen, df.schema), "id", "t"), df, "id")
     assert {(r.id, r.term) for r in smooth.collect()} == set(got) and calls.value == 10
+
+
+@pytest.mark.parametrize(
+    "patterns", [["ab*", "i", "abcd", "x_y*"], ["abc", "i"], ["*"], ["a*", "a"], ["", "zz*"], []]
+)
+def test_prefixes_are_tried_for_terms_that_begin_like_a_pattern(spark, monkeypatch, patterns):
+    """Same matches as plain comparison; only terms with a pattern's beginning have their prefixes looked up."""
+    terms = ["", "a", "ab", "abc", "abcd", "abx", "b", "i", "in", "x", "x_y", "x_yz", "z", "zzz", "q" * 30]
+    cells = spark.createDataFrame([(1, t, 1) for t in terms], "id long, term string, n long")
+    lex = spark.createDataFrame([("d", "c", p) for p in patterns], "dict string, category string, pattern string")
+    tried, plain = [], lx.lookup
+
+    def watched(rows, table, on, how="left"):
+        if on == "pattern":
+            tried.extend({r.term for r in rows.select("term").distinct().collect()})
+        return plain(rows, table, on, how)
+
+    monkeypatch.setattr(lx, "lookup", watched)
+    got = {r.term for r in lx.match_patterns(cells, lex, ["id"]).collect()}
+    # a prefix has to reach into the last word of a term
+    reaches = lambda p, t: p.endswith("*") and t.startswith(p[:-1]) and len(p) - 1 > t.rfind("_")
+    assert got == {t for t in terms for p in patterns if t == p or reaches(p, t)}
+    if patterns[:1] == ["ab*"]:
+        assert set(tried) == {"ab", "abc", "abcd", "abx", "i", "x_y", "x_yz"}
