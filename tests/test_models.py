@@ -398,3 +398,19 @@ def test_heads_do_not_depend_on_partitions(spark, monkeypatch, shard_rows):
     one, many = (vc.train_heads(rows.repartition(n), head, [10], [2]) for n in (2, 9))
     assert one.keys() == many.keys()
     assert all(np.allclose(one[k], many[k], atol=1e-9) for k in one)
+
+
+def test_topics_keep_one_state(spark):
+    """A pass's state replaces the one before it on disk; the models can still be read."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from answerframe.session import checkpoint_folder
+
+    folder = Path(urlparse(checkpoint_folder(spark)).path)
+    df = spark.createDataFrame([(i, "all_text", "a b c a" if i % 2 else "d e f d") for i in range(8)], "id long, field string, text string")
+    before = set(folder.glob("table-*"))
+    models = tp.fit_topics(df, "id", words("text"), {"all_text": [2]}, iterations=6, tolerance=-1)
+    # vocabulary, texts, routing and the last state
+    assert len(set(folder.glob("table-*")) - before) == 4
+    assert models.columns().count() == 8
