@@ -199,6 +199,22 @@ def test_gram_counts_equal_expressions(spark, monkeypatch, at_once):
         assert sorted(map(str, grams.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("at_once", [200_000, 3, 1])
+def test_windows_hold_the_vocabulary_of_all_orders(spark, monkeypatch, at_once):
+    """At most one row a token is shuffled, and the vocabulary is that of the cells, wherever runs are cut."""
+    monkeypatch.setattr(tm, "TOKENS_AT_ONCE", at_once)
+    held = ["a b a b a", "don't don don'ts don", "a b c", "", None, "x", "é b a É b a", "w " * 40, "b a b", "a b a b a"]
+    df = texts(spark, *held)
+    for low, high in [(1, 5), (2, 3), (1, 1), (4, 6)]:
+        grams = tm.ngram_counts(df, "id", "t", low, high, windows=True)
+        assert grams.count() <= df.select(F.sum(F.size(words("t")))).first()[0]
+        cells = tm.vocabulary(tm.ngram_counts(df, "id", "t", low, high))
+        for least in (1, 2, 3):
+            got = tm.vocabulary(grams, min_docfreq=least)
+            assert got.columns == cells.columns
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tm.trim_docfreq(cells, least).collect()))
+
+
 @pytest.mark.parametrize("rows", [1_000_000, 0])
 def test_weightings_count_a_text_once(spark, monkeypatch, rows):
     """Nothing past the written cells reads texts again, with a vocabulary that is broadcast and one that is not."""
