@@ -8,14 +8,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 from .joins import join_vocabulary
 from .terms import term_counts, trim_docfreq, vocabulary
 
-#: Numbers of the tall factor that the cells of one part may ask for.
+#: Numbers that the cells of one part may ask for, four each.
 PART_NUMBERS = 8_000_000
-#: Columns kept beside the wanted ones, which speed up the iteration.
-SPARE = 10
+#: Columns of a block beside the wanted ones, which speed up the iteration.
+SPARE = 2
 
 
 def _numbers(column, width: int) -> np.ndarray:
@@ -30,26 +30,16 @@ def _lists(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
-def _turned(column, width: int, rotations: list[np.ndarray]) -> np.ndarray:
-    out = _numbers(column, width)
-    for r in rotations:
-        out = out @ r
-    return out
-
-
-def _orthonormal(gram: np.ndarray) -> tuple[np.ndarray, bool]:
-    """``W`` for which ``Z·W`` has orthonormal columns, given ``ZᵀZ``, and whether rounding asks for a second turn.
-
-    Directions without length are left out.
-    """
+def _orthonormal(gram: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """``W`` for which ``Z·W`` has orthonormal columns, given ``ZᵀZ``. Directions without length, or of ``least`` at most, are left out."""
     length = np.sqrt(np.maximum(np.diag(gram), 0.0))
-    some = np.flatnonzero(length > 1e-12 * length.max(initial=0.0))
+    some = np.flatnonzero(length > max(1e-12 * length.max(initial=0.0), least))
     scaled = gram[np.ix_(some, some)] / np.outer(length[some], length[some])
     values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
     kept = values > 1e-12 * values.max(initial=0.0)
     out = np.zeros((len(gram), int(kept.sum())))
     out[some] = vectors[:, kept] / length[some][:, None] / np.sqrt(values[kept])
-    return out, bool(values[kept].min(initial=1.0) < 1e-4 * values.max(initial=0.0))
+    return out
 
 
 class TfidfSvd:
@@ -59,11 +49,12 @@ class TfidfSvd:
     folder. ``transform`` adds ``text_features`` (``array<double>`` of length ``k``; zeros for a null or empty text, one
     without a known term, and components beyond the matrix's rank). ``id_col`` tells texts apart and must be unique.
 
-    The SVD is a block power iteration. Its block ``Q`` has one row a term. Texts are dealt into parts by a hash of
-    their id; a step sends each term's row to the parts that hold the term, where ``AᵀA·Q`` and ``(A·Q)ᵀ(A·Q)`` of the
-    part's texts are made, and sums them by term. A frequent term thus costs one row a part, not one a text. The
-    driver holds matrices of (k + 10)² numbers only: ``Q`` is made orthonormal by its Gram matrix, twice if that is badly
-    conditioned. The iteration ends when no wanted singular value moved by more than ``tolerance`` of the largest.
+    The SVD is a block Lanczos iteration. Its newest block has one row a term. Texts are dealt into parts by a hash of
+    their id; a step sends each term's row to the parts that hold the term, where ``AᵀA`` times the block is made of the
+    part's texts, and sums it by term. A frequent term thus costs one row a part, not one a text. All blocks stay as
+    columns of one table, and each new one is made orthogonal to all of them. The driver holds matrices of as many rows and
+    columns as there are columns in that table. The iteration ends when no wanted singular value moved by more than
+    ``tolerance`` of the largest, or nothing new is found.
     """
 
     def __init__(
@@ -93,27 +84,33 @@ class TfidfSvd:
         width = min(self.k + SPARE, terms)
         if width == 0:
             return self._keep(vocab, np.zeros(0), F.array().cast("array<double>"))
-        docs, routing = self._parts(cells, vocab, n_cells * width)
+        docs, routing = self._parts(cells, vocab, 4 * n_cells)
         first = [F.xxhash64("term", F.lit(self.seed), F.lit(j)) / F.lit(2.0**63) for j in range(width)]
         state, before = vocab.select("term_no", F.array(*first).alias("q")), np.zeros(0)
-        rotations = self._orthonormalised(state, width, [])
+        # the orthonormal vectors are the table's columns times ``basis``; column ``width + i`` is the image of vector i
+        basis, image, done = self._extended(state, np.zeros((width, 0)), np.eye(width))[0], np.zeros((0, 0)), 0
         for step in range(self.iterations):
-            block = rotations[-1].shape[1]
-            sums = written(self._gram_times(docs, routing, state, width, rotations))
-            rows = sorted(sums.where("term_no < 0").collect(), key=lambda r: -r["term_no"])
-            small = np.array([r["q"] for r in rows])
-            values, vectors = np.linalg.eigh((small + small.T) / 2)
+            sums = self._gram_times(docs, routing, state, basis[:, done:])
+            longer = written(state.join(sums, "term_no").select("term_no", F.concat("q", "z").alias("q")))
+            if step:
+                discard(state)
+            state, fresh = longer, basis.shape[1] - done
+            basis = np.vstack([basis, np.zeros((fresh, done + fresh))])
+            made = np.vstack([np.zeros((len(basis) - fresh, fresh)), np.eye(fresh)])
+            grown, overlap = self._extended(state, basis, made)
+            image = np.block([[image, overlap[:done]], [overlap[:done].T, overlap[done:]]])
+            done += fresh
+            values, vectors = np.linalg.eigh((image + image.T) / 2)
             values, vectors = np.maximum(values[::-1], 0.0), vectors[:, ::-1]
-            top = np.sqrt(values[: self.k])
+            top, chosen = np.sqrt(values[: self.k]), basis @ vectors[:, : self.k]
             settled = len(top) == len(before) and np.abs(top - before).max() <= self.tolerance * top[0]
-            if settled or step + 1 == self.iterations:
+            if settled or grown.shape[1] == done:
                 break
-            before = top
-            state, width = sums.where("term_no >= 0"), block
-            rotations = self._orthonormalised(state, width, [vectors])
+            before, basis = top, grown
         docs.unpersist()
-        turned = self._turn(state, width, [*rotations, vectors[:, : self.k]])
-        return self._keep(vocab.join(turned, "term_no"), top, F.col("q"))
+        kept = self._keep(vocab.join(self._turn(state, chosen), "term_no"), top, F.col("q"))
+        discard(state)
+        return kept
 
     def _parts(self, cells: DataFrame, vocab: DataFrame, numbers: int) -> tuple[DataFrame, DataFrame]:
         """The texts' unit vectors, dealt into parts, and which part holds which term."""
@@ -137,38 +134,52 @@ class TfidfSvd:
         return docs.repartition(tasks, "part").persist(StorageLevel.DISK_ONLY), routing
 
     @staticmethod
-    def _turn(state: DataFrame, width: int, rotations: list[np.ndarray]) -> DataFrame:
+    def _turn(state: DataFrame, columns: np.ndarray) -> DataFrame:
         def run(batches):
             for batch in batches:
-                q = _turned(batch.column(1), width, rotations)
+                q = _numbers(batch.column(1), len(columns)) @ columns
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(q)], ["term_no", "q"])
 
         return state.select("term_no", "q").mapInArrow(run, "term_no long, q array<double>")
 
     @staticmethod
-    def _orthonormalised(state: DataFrame, width: int, rotations: list[np.ndarray]) -> list[np.ndarray]:
-        """``rotations`` and one or two more, after which the columns are orthonormal to rounding."""
-        again = True
-        while again:
-
-            def gram(batches, chain=tuple(rotations)):
-                total = 0.0
-                for batch in batches:
-                    q = _turned(batch.column(0), width, chain)
-                    total = total + q.T @ q
-                rows = [total.ravel()] if isinstance(total, np.ndarray) else []
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["g"])
-
-            size = rotations[-1].shape[1] if rotations else width
-            cells = state.select("q").mapInArrow(gram, "g array<double>").select(F.posexplode("g").alias("at", "x"))
-            sums = sorted(cells.groupBy("at").agg(F.sum("x")).collect())
-            turn, again = _orthonormal(np.array([r[1] for r in sums]).reshape(size, size))
-            rotations = [*rotations, turn]
-        return rotations
-
-    def _gram_times(self, docs, routing, state, width: int, rotations) -> DataFrame:
-        """``(term_no, q)`` with the rows of ``AᵀA·Q``; row −1−i is row i of ``(A·Q)ᵀ(A·Q)``."""
-        block = rotations[-1].shape[1]
+    def _gram(state: DataFrame, columns: np.ndarray) -> np.ndarray:
+        """``XᵀX`` of the table's columns times ``columns``."""
+
+        def gram(batches):
+            total = 0.0
+            for batch in batches:
+                q = _numbers(batch.column(0), len(columns)) @ columns
+                total = total + q.T @ q
+            rows = [total.ravel()] if isinstance(total, np.ndarray) else []
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["g"])
+
+        cells = state.select("q").mapInArrow(gram, "g array<double>").select(F.posexplode("g").alias("at", "x"))
+        sums = sorted(cells.groupBy("at").agg(F.sum("x")).collect())
+        return np.array([r[1] for r in sums]).reshape(columns.shape[1], columns.shape[1])
+
+    def _extended(self, state: DataFrame, basis: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``basis`` and the directions of ``made`` that it lacks, orthonormal to rounding; and the products of both."""
+        held, first, least = basis.shape[1], None, 0.0
+        for turn in range(4):
+            gram = self._gram(state, np.hstack([basis, made]))
+            overlap, own = gram[:held, held:], gram[held:, held:]
+            if first is None:
+                first, least = overlap, 1e-10 * np.sqrt(own.max(initial=0.0))
+            off = max(np.abs(overlap).max(initial=0.0), np.abs(own - np.eye(len(own))).max(initial=0.0))
+            if turn > 1 and off < 1e-12:
+                break
+            made = made - basis @ overlap
+            if turn or not held:
+                # the lengths seen before the first removal say nothing about what is left
+                made = made @ _orthonormal(own - overlap.T @ overlap, least if turn < 2 else 0.0)
+            if not made.shape[1]:
+                break
+        return np.hstack([basis, made]), first
+
+    def _gram_times(self, docs, routing, state, columns: np.ndarray) -> DataFrame:
+        """``(term_no, z)`` with the rows of ``AᵀA·Q``, Q the table's columns times ``columns``."""
+        block = columns.shape[1]
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             lists = left["terms"].combine_chunks()
@@ -178,19 +189,16 @@ class TfidfSvd:
             order = np.argsort(numbers)
             numbers, q = numbers[order], _numbers(right["q"], block)[order]
             at = np.searchsorted(numbers, terms)
-            y = np.empty((len(lists), block))
-            for j in range(block):
-                y[:, j] = np.bincount(rows, weights * q[at, j], len(lists))
-            small = y.T @ y
-            out = {"term_no": np.concatenate([numbers, -1 - np.arange(block)])}
+            out = {"term_no": numbers}
             for j in range(block):
-                out[f"z{j}"] = np.concatenate([np.bincount(at, weights * y[rows, j], len(numbers)), small[:, j]])
+                y = np.bincount(rows, weights * q[at, j], len(lists))
+                out[f"z{j}"] = np.bincount(at, weights * y[rows], len(numbers))
             return pa.table(out)
 
-        sent = routing.join(self._turn(state, width, rotations), "term_no").select("part", "term_no", "q")
+        sent = routing.join(self._turn(state, columns), "term_no").select("part", "term_no", "q")
         schema = "term_no long, " + ", ".join(f"z{j} double" for j in range(block))
         part = docs.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(run, schema)
-        return part.groupBy("term_no").agg(F.array(*[F.sum(f"z{j}") for j in range(block)]).alias("q"))
+        return part.groupBy("term_no").agg(F.array(*[F.sum(f"z{j}") for j in range(block)]).alias("z"))
 
     def _keep(self, terms: DataFrame, values: np.ndarray, vector: Column) -> TfidfSvd:
         """Store ``term, doc_count, idf, v``; each component's largest entry (ties: first term) is made positive."""

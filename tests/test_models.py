@@ -203,6 +203,19 @@ def test_svd_against_numpy(spark):
     assert np.allclose(np.abs(got), np.abs(U[:, :3] * s[:3]), atol=1e-5)
 
 
+def test_svd_needs_few_passes_for_close_singular_values(spark):
+    """Random texts have a flat spectrum, where powers of the matrix settle slowly."""
+    rng = np.random.default_rng(3)
+    words_ = [f"w{i}" for i in range(70)]
+    texts = [" ".join(rng.choice(words_, 12)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    model = TfidfSvd(terms2("t"), "id", k=3, iterations=12, tolerance=0.0).fit(df)
+    A = np.array([[t.split().count(w) for w in words_] for t in texts], dtype=float)
+    A *= np.log(151 / (1 + (A > 0).sum(axis=0))) + 1
+    A /= np.linalg.norm(A, axis=1, keepdims=True)
+    assert np.allclose(model.singular_values, np.linalg.svd(A)[1][:3], atol=1e-8)
+
+
 def test_svd_does_not_depend_on_parts(spark, monkeypatch):
     texts = [f"aa bb cc{i % 4} dd{i % 7} " * (1 + i % 3) + f"ee{i % 11}" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
