@@ -2,11 +2,13 @@
 
 Each step is a plain projection of regular expressions, so stemming stays on the
 JVM, needs no lookup table and no shuffle. ``y`` counts as a vowel after a
-consonant. Words of one or two letters are left alone.
+consonant. Words of one or two letters are left alone. ``stem_word`` does the same
+to one word inside an Arrow task, where each distinct word of many texts is stemmed once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -141,3 +143,50 @@ def stem_column(df: DataFrame, word_col: str, out_col: str = "stem") -> DataFram
     # would repeat each of them inside the next. A generator's output stops it.
     kept = [c for c in df.columns if c != out_col]
     return done.select(*kept, F.explode(F.array(out_col)).alias(out_col))
+
+
+_OVER_0, _OVER_1, _IS_1, _VOWEL, _SHORT, _DOUBLED, _TO_E, _ION = map(
+    re.compile, [MEASURE_OVER_0, MEASURE_OVER_1, MEASURE_IS_1, HAS_VOWEL, SHORT_END, DOUBLED, "(?:at|bl|iz)$", "[st]$"]
+)
+_TABLES = [
+    (re.compile("(?:" + "|".join(rules) + ")$"), rules, measure)
+    for rules, measure in ((STEP_2, _OVER_0), (STEP_3, _OVER_0), (dict.fromkeys(STEP_4, ""), _OVER_1))
+]
+
+
+def stem_word(word: str) -> str:
+    """The Porter stem of one word, by the same steps and patterns as ``stem_column``."""
+    w = word.lower()
+    if len(word) <= 2:
+        return w
+    if w.endswith("s") and not w.endswith("ss"):
+        w = w[:-2] if w.endswith(("sses", "ies")) else w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _OVER_0.search(w[:-3]) else w
+    elif w.endswith("ed"):
+        w = w[:-2] + "!" if _VOWEL.search(w[:-2]) else w
+    elif w.endswith("ing"):
+        w = w[:-3] + "!" if _VOWEL.search(w[:-3]) else w
+    if w.endswith("!"):
+        w = w[:-1]
+        if _TO_E.search(w):
+            w += "e"
+        elif _DOUBLED.search(w):
+            w = w[:-1]
+        elif _SHORT.search(w):
+            w += "e"
+    if w.endswith("y") and _VOWEL.search(w[:-1]):
+        w = w[:-1] + "i"
+    for ends, rules, measure in _TABLES:
+        found = ends.search(w)
+        if found:
+            base, suffix = w[: found.start()], found[0]
+            if measure.search(base) and (suffix != "ion" or _ION.search(base)):
+                w = base + rules[suffix]
+    if w.endswith("e"):
+        bare = w[:-1]
+        if _OVER_1.search(bare) or (_IS_1.search(bare) and not _SHORT.search(bare)):
+            w = bare
+    if w.endswith("ll") and _OVER_1.search(w):
+        w = w[:-1]
+    return w

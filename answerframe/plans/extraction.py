@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import readability as rd
-from ..functions.stem import stem_column
 from ..functions.text import apply_chain, strip_digits, strip_symbols
 from ..functions.tokens import ngrams, terms2, without, words
 from ..operators import diversity as dv
@@ -49,8 +48,7 @@ class FeatureExtraction:
         steps = self._of("dtm").get("steps", [strip_symbols, strip_digits, F.lower])
         plain = apply_chain(self.text_col, steps)
         tokens = F.filter(F.split(plain, r"\s+"), lambda t: t != "")
-        cells = stem_column(tm.term_counts(self.df, [self.id_col], tokens), "term")
-        return cells.groupBy(self.id_col, "stem").agg(F.sum("n").alias("n"))
+        return tm.stem_counts(self.df, [self.id_col], tokens)
 
     def doc2vec(self) -> DataFrame:
         return vc.word_vectors(self.df, self.id_col, words(self.text_col), **self._of("doc2vec"))

@@ -1,11 +1,13 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from answerframe.functions import readability as rd
 from answerframe.functions import text as tx
 from answerframe.functions import tokens as tk
-from answerframe.functions.stem import stem_column
+from answerframe.functions.stem import stem_column, stem_word
 from answerframe.operators import diversity as dv
+from answerframe.operators import terms as tm
 
 ANSWER_ROWS = [
     (1, "I am not happy.", None, None, None, None),
@@ -100,6 +102,26 @@ def test_porter_stems(spark):
     assert got == dict(pairs)
 
 
+def test_stem_of_one_word_equals_the_column(spark):
+    parts = "a y e b st ll ed ing eed ies sses ss s ational ement ion ou ble iz at x é İ _ ! xx".split()
+    made = {a + b + c for a in parts for b in parts for c in parts} | {p.split()[0] for p in STEMS.replace("\n", "|").split("|")}
+    df = stem_column(spark.createDataFrame([(w,) for w in sorted(made)], "w string"), "w")
+    assert [(r.w, stem_word(r.w)) for r in df.collect() if stem_word(r.w) != r.stem] == []
+
+
+def test_stemmed_counts_stem_each_word_once(spark):
+    """Texts in one row, over several rows of an id, empty and null; a word met before is not stemmed again."""
+    rows = [(1, "cats cat sat cats"), (1, "cat"), (2, ""), (3, None), (None, "sats sat")]
+    df = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    got = tm.stem_counts(df, ["id"], F.filter(F.split("t", " "), lambda t: t != "")).collect()
+    assert {(r.id, r.stem, r.n) for r in got} == {(1, "cat", 4), (1, "sat", 1), (None, "sat", 2)} and len(got) == 3
+    met, known = [], {}
+    for _ in range(2):
+        out = tm._reworded(pa.array(["cats", "sat", "cats"], pa.large_string()), lambda w: met.append(w) or stem_word(w), known)
+        assert out.to_pylist() == ["cat", "sat", "cat"]
+    assert met == ["cats", "sat"]
+
+
 def test_stem_survives_a_filter_and_a_join(spark):
     df = stem_column(spark.createDataFrame([("motoring",), ("sky",)], "w string"), "w")
     other = spark.createDataFrame([("motor", 1)], "stem string, hit int")
