@@ -1,15 +1,16 @@
-"""Groups of texts whose word shingles are alike: MinHash bands find candidates, whole shingle sets decide.
+"""Groups of texts whose word shingles are alike: SimHash trees and MinHash bands find candidates, whole shingle sets decide.
 
-Texts are sets of word shingles, and two are linked if their Jaccard similarity reaches a bound. A SimHash of 64 bits
-cannot find such pairs: at a similarity of 0.8 about ten bits differ, and trees over halves of 32 bits do not narrow a
-search that wide. Instead each set gets minima under many hash functions, taken together in bands. The number of bands
+Texts are sets of word shingles, and two are linked if their Jaccard similarity reaches a bound. Each set has the 64-bit
+SimHash of ``simhash``, whose vantage-point trees find all pairs within three bits. That is the close half of the search: at a
+similarity of 0.8 about ten bits differ, and trees over halves of 32 bits do not narrow a search that wide. So
+each set also gets minima under many hash functions, taken together in bands. The number of bands
 follows from the bound: a pair just at it shares no band with a chance of ``MISSED``, a pair above it with less.
 
-Sets that share bands, directly or through others, form a cluster. Texts far less alike than the bound often share a band by
+Sets that share bands or near fingerprints, directly or through others, form a cluster. Texts far less alike than the bound often share a band by
 chance and may chain many texts of one template together. So a cluster too large for one task is first cut by sketches, one
 byte a minimum: sets are compared by the share of bytes that agree, in blocks of ``SKETCH_ROWS``, and only sets within ``MARGIN`` of
 the bound stay linked (five deviations of that share's error, a chance of 3e-7 for a pair just at the bound). What is left is compared
-exactly. Only clusters' members are shuffled, block pair by block pair with a task of its own, so neither bands nor sketches
+exactly. Only clusters' members are shuffled, block pair by block pair with a task of its own, so neither fingerprints, bands nor sketches
 link anything by themselves. Equal sets are collapsed first, and a task returns a spanning forest of its links.
 """
 
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, fits_broadcast
 from .common import join_counted, longs, map_arrow, partitions_for, pick
-from .simhash import components, smallest_ids, words
+from .simhash import components, fingerprint_of, smallest_ids, words
+from .simhash import links as fingerprint_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 SEED = 42
@@ -185,12 +187,25 @@ def with_blocks(member: DataFrame) -> DataFrame:
     return join_counted(member, sizes.where("members > 1"), "root", "members")
 
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """``doc_id, fp, root, blocks``: clusters of the sets that may be alike."""
+def near_fingerprints(sets: DataFrame) -> DataFrame:
+    """``a, b``: links that connect all sets ``fp, n, simhash`` whose SimHash fingerprints are equal or near."""
+    some = sets.where("n > 0").select("fp", "simhash")
+    marks = checkpoint(some.groupBy("simhash").agg(F.min("fp").alias("hub"), F.count("*").alias("held")))
+    same = join_counted(some, checkpoint(marks.where("held > 1")), "simhash", "held").where("hub != fp")
+    near = fingerprint_links(marks.select(F.col("simhash").alias("fp")))
+    for end in ("a", "b"):
+        hub = marks.select(F.col("simhash").alias(end), F.col("hub").alias(f"hub_{end}"))
+        near = near.join(hub.hint("merge"), end)
+    return same.select(F.col("hub").alias("a"), F.col("fp").alias("b")).unionByName(near.selectExpr("hub_a AS a", "hub_b AS b"))
+
+
+def candidates(sets: DataFrame, similarity: float, near: DataFrame | None = None) -> DataFrame:
+    """``doc_id, fp, root, blocks``: clusters of the sets that may be alike, by their bands and the links ``near``."""
     keys = sets.select("fp", F.explode("keys").alias("band"))
     least = keys.groupBy("band").agg(F.min("fp").alias("a"), F.max("fp").alias("most"), F.count("*").alias("held"))
     least = checkpoint(least.where("a != most").select("band", "a", "held"))
-    star = join_counted(keys, least, "band", "held").where("a != fp").select("a", F.col("fp").alias("b")).distinct()
+    star = join_counted(keys, least, "band", "held").where("a != fp").select("a", F.col("fp").alias("b"))
+    star = (star if near is None else star.unionByName(near)).distinct()
 
     def members(edges: DataFrame, of: DataFrame) -> DataFrame:
         joined = of.join(components(edges).withColumnRenamed("node", "fp").hint("merge"), "fp")
@@ -200,18 +215,18 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     large = found.where("blocks > 1")
     # blocks for sketches follow from those for sets, which are smaller
     again = F.ceil(F.col("blocks") * BLOCK_ROWS / SKETCH_ROWS).cast("int")
-    near = in_blocks(
+    alike_ = in_blocks(
         large.select("fp", "root", again.alias("blocks"), F.col("sketch").alias("value")),
         lambda values, first: alike_sketches(values, first, similarity - MARGIN),
     )
-    cut = members(near, large.select("fp", F.col("doc_id").alias("first"), "n", "sketch"))
+    cut = members(alike_, large.select("fp", F.col("doc_id").alias("first"), "n", "sketch"))
     columns = ["doc_id", "fp", "root", "blocks"]
     return checkpoint(found.where("blocks = 1").select(columns).unionByName(cut.select(columns)))
 
 
 def links(docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``a, b``: links between the sets ``fp, first, n, keys, sketch`` of ``docs`` that connect all that are alike."""
-    member = candidates(sets, similarity)
+    """``a, b``: links between the sets ``fp, first, n, simhash, keys, sketch`` of ``docs`` that connect all that are alike."""
+    member = candidates(sets, similarity, near_fingerprints(sets))
 
     def hashed(batch):
         found = [shingles(t, shingle).view(np.int64) for t in batch.column(3).to_pylist()]
@@ -233,15 +248,16 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     def signed(batch):
         found = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
-        fps = np.array([set_key(f) for f in found], np.uint64).view(np.int64)
+        fps, marks = (np.array([key(f) for f in found], np.uint64).view(np.int64) for key in (set_key, fingerprint_of))
         least = [minima(f, bands) if len(f) else np.zeros((0, BAND), np.uint32) for f in found]
         keys = [keys_of(m).view(np.int64) for m in least]
         sketches = [(m & 0xFF).astype(np.uint8).tobytes() for m in least]
-        return [batch.column(0), longs(fps), longs([len(f) for f in found]), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        held = [longs(fps), longs([len(f) for f in found]), longs(marks), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        return [batch.column(0), *held]
 
-    rows = checkpoint(map_arrow(docs, signed, "doc_id long, fp long, n long, keys array<long>, sketch binary"))
+    rows = checkpoint(map_arrow(docs, signed, "doc_id long, fp long, n long, simhash long, keys array<long>, sketch binary"))
     # equal sets have equal keys, so tasks keep one of them before the shuffle
-    values = [F.first(c).alias(c) for c in ("keys", "sketch")]
+    values = [F.first(c).alias(c) for c in ("simhash", "keys", "sketch")]
     held = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"), *values)
     sets = checkpoint(held)
     found = components(links(docs, sets.drop("copies"), shingle, similarity))

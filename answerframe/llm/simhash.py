@@ -52,11 +52,25 @@ def fingerprint(tokens: list[bytes], n: int = SHINGLE) -> int:
     ones = np.zeros(64, np.int64)
     for a in range(0, k, HASHES_AT_ONCE):
         pairs = zip(starts[a : min(k, a + HASHES_AT_ONCE)].tolist(), last[a : a + HASHES_AT_ONCE].tolist(), strict=False)
-        h = np.array([digest(joined[i:j], seed) for i, j in pairs], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += bit_counts(np.array([digest(joined[i:j], seed) for i, j in pairs], "<u8"))
+    return _over_half(ones, k)
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers have each of the 64 bits set."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, k: int) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > k).tolist()))
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles given by their hashes; 0 of none."""
+    parts = (bit_counts(hashes[a : a + HASHES_AT_ONCE]) for a in range(0, len(hashes), HASHES_AT_ONCE))
+    return _over_half(sum(parts, np.zeros(64, np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` of each row: the whole text's fingerprint as a signed 64-bit number; 0 without a word."""
 

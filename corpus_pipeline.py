@@ -55,7 +55,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id.
 
-    Two are near if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. All texts without a word are one
+    Two are near if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more: SimHash fingerprints in vantage-point
+    trees find the pairs within three bits, MinHash bands those that differ in more, whole sets decide. All texts without a word are one
     group. Among equal ids the first row stays; a null id stays only if its group has no other.
     """
     rows = _numbered(docs)
@@ -91,7 +92,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models, MinHash bands, seeded choices and token ids cannot be stated in SQL; tests hold the stages against brute force.
+#: Models, fingerprints, bands, seeded choices and token ids cannot be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from answerframe.llm import resemblance
+from answerframe.llm import resemblance, simhash
 
 
 def plain_shingles(text, n=5):
@@ -86,6 +86,47 @@ def test_groups_equal_brute_force(make, monkeypatch, block_rows):
     assert got == plain_groups(rows)
 
 
+def close_pairs(n=12):
+    """Pairs of long texts that differ in the last word alone, and whose SimHash fingerprints lie within three bits."""
+    rng, rows = random.Random(3), []
+    while len(rows) < 2 * n:
+        words = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        pair = [" ".join(words), " ".join([*words[:-1], "other"])]
+        a, b = (simhash.fingerprint_of(resemblance.shingles(t)) for t in pair)
+        if (a ^ b).bit_count() <= 3:
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+    return rows
+
+
+def test_stage_finds_copies_by_simhash(spark, make, sf_small, monkeypatch):
+    """Without any band, the vantage-point trees still bring copies within three bits together."""
+    monkeypatch.setattr(resemblance, "keys_of", lambda least: np.zeros(0, np.uint64))
+    rows = close_pairs()
+    out = corpus_pipeline.one_of_each_group(spark, make(rows), sf_small)
+    assert sorted(r.doc_id for r in out.collect()) == [d for d, _ in rows if d % 2 == 0]
+
+
+def test_near_fingerprints_alone_link_nothing(spark, make):
+    """Sets given the same or near fingerprints by hand are candidates; their shingles decide."""
+    rows = planted(0.5, 0.79, n=4) + [(8, "a text of its own"), (9, "")]
+    made = []
+    for d, t in rows:
+        found = resemblance.shingles(t)
+        made.append((d, d, len(found), [5, 5, 4, -1][d % 4] if d < 8 else 0, [], b""))
+    sets = spark.createDataFrame(made, "fp long, first long, n long, simhash long, keys array<long>, sketch binary")
+    root = {r.node: r.root for r in resemblance.components(resemblance.near_fingerprints(sets)).collect()}
+    assert set(root) == {0, 1, 2, 3, 4, 5, 6, 7, 8}
+    assert len({root[d] for d in (0, 1, 2, 4, 5, 6, 8)}) == 1 and root[3] == root[7] != root[0]
+    assert resemblance.links(make(rows), sets, 5, 0.8).count() == 0
+
+
+def test_fingerprint_of_hashes():
+    tokens = [f"w{i}".encode() for i in range(70)]
+    hashes = resemblance.shingles(" ".join(t.decode() for t in tokens), 3)
+    assert simhash.fingerprint_of(hashes) == simhash.fingerprint(tokens, 3)
+    assert simhash.fingerprint_of(hashes[:0]) == 0
+
+
 def test_bands_miss_almost_nothing():
     bands = resemblance.n_bands(0.8)
     assert (1 - 0.8**resemblance.BAND) ** bands <= resemblance.MISSED
