@@ -427,3 +427,20 @@ def test_topics_keep_one_state(spark):
     # vocabulary, texts, routing and the last state
     assert len(set(folder.glob("table-*")) - before) == 4
     assert models.columns().count() == 8
+
+
+def test_choose_k_trains_like_the_final_models(spark, monkeypatch):
+    """The search for the number of topics leaves passes, tolerance and vocabulary as they are for the final models."""
+    from answerframe.plans import model_catalog as mc
+
+    calls = []
+
+    def fit(*args, **settings):
+        calls.append(settings)
+        raise StopIteration
+
+    monkeypatch.setattr(tp, "fit_topics", fit)
+    for query in (mc.choose_k, mc.topic_shares):
+        with pytest.raises(StopIteration):
+            query(spark, "/root/testdata/sf0.001")
+    assert not any({"iterations", "tolerance", "min_docfreq"} & set(c) for c in calls) and len(calls) == 2
