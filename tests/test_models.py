@@ -444,3 +444,57 @@ def test_choose_k_trains_like_the_final_models(spark, monkeypatch):
         with pytest.raises(StopIteration):
             query(spark, "/root/testdata/sf0.001")
     assert not any({"iterations", "tolerance", "min_docfreq"} & set(c) for c in calls) and len(calls) == 2
+
+
+def topic_rows(spark, n=24):
+    rng = np.random.default_rng(8)
+    pool = {"a": [f"a{c}" for c in "stuvwxyz"], "b": [f"b{c}" for c in "stuvwxyz"]}
+    rows = [(i, f, " ".join(rng.choice(pool[f], 12 + i % 7))) for f in pool for i in range(n)]
+    rows += [(99, "a", ""), (98, "b", "alone")]
+    return spark.createDataFrame(rows, "id long, field string, text string").repartition(3)
+
+
+@pytest.mark.parametrize(("numbers", "iterations", "tolerance"), [(1 << 22, 20, 2e-3), (60, 7, 0), (60, 20, 2e-2)])
+def test_topics_in_tasks_equal_topics_in_parts(spark, monkeypatch, numbers, iterations, tolerance):
+    """Models trained inside tasks and models whose state is a table, of one part and many: the same passes, bounds, shares and cosines."""
+    ks = {"a": [2, 3, 5], "b": [4, 2]}
+    found = []
+    for local in (1 << 22, 0):
+        monkeypatch.setattr(tp, "LOCAL_NUMBERS", local)
+        monkeypatch.setattr(tp, "PART_NUMBERS", numbers)
+        models = tp.fit_topics(topic_rows(spark), "id", words("text"), ks, iterations, tolerance)
+        assert isinstance(models, tp.LocalModels) == bool(local)
+        shares = {(r.id, r.field): r.shares for r in models.shares().collect()}
+        quality = {(r.field, r.k): (r.log_likelihood, r.mean_cosine) for r in models.quality().collect()}
+        found.append((models.bounds, shares, quality))
+    (bounds, shares, quality), (bounds_2, shares_2, quality_2) = found
+    assert all(np.allclose(bounds[f], bounds_2[f], rtol=1e-9) and len(bounds[f]) == len(bounds_2[f]) for f in ks)
+    assert shares.keys() == shares_2.keys() and len(shares) == 50 and all(np.allclose(shares[x], shares_2[x], atol=1e-7) for x in shares)
+    assert quality.keys() == quality_2.keys() and all(np.allclose(quality[x], quality_2[x], rtol=1e-7) for x in quality)
+
+
+def test_search_for_topics_keeps_no_weights(spark):
+    """The weights of many numbers of topics stay in the tasks: on disk are the texts, the vocabulary and a few numbers a model."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from answerframe.session import checkpoint_folder
+
+    folder = Path(urlparse(checkpoint_folder(spark)).path)
+    text = " ".join("abcdefghijklmnopqrstuvwxyz"[i // 26] + "abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(400))
+    df = spark.createDataFrame([(i, "all_text", text) for i in range(4)], "id long, field string, text string")
+    before = set(folder.glob("table-*"))
+    models = tp.fit_topics(df, "id", words("text"), {"all_text": list(range(2, 40))}, iterations=2, shares=False)
+    size = sum(f.stat().st_size for t in set(folder.glob("table-*")) - before for f in t.glob("*.parquet"))
+    assert size < 400 * sum(range(2, 40)) * 8 / 10
+    assert models.quality().count() == 38
+    with pytest.raises(ValueError, match="without shares"):
+        models.shares()
+
+
+def test_models_are_dealt_evenly():
+    ks, cells = {"a": list(range(2, 76)), "b": [3], "c": [5, 6]}, {"a": 9_000, "b": 400}
+    groups = tp.deal_models(ks, cells, 12)
+    assert sorted((f, m) for f, held in groups for m in held) == sorted((f, m) for f, k in ks.items() for m in range(len(k)))
+    work = [sum(ks["a"][m] for m in held) for f, held in groups if f == "a"]
+    assert len(work) == 12 and max(work) < 1.1 * min(work)
