@@ -1,3 +1,5 @@
+import collections
+import math
 import re
 
 import pytest
@@ -257,3 +259,43 @@ def test_prefixes_are_tried_for_terms_that_begin_like_a_pattern(spark, monkeypat
     assert got == {t for t in terms for p in patterns if t == p or reaches(p, t)}
     if patterns[:1] == ["ab*"]:
         assert set(tried) == {"ab", "abc", "abcd", "abx", "i", "x_y", "x_yz"}
+
+
+@pytest.mark.parametrize(("cells", "terms"), [(1 << 20, 1 << 20), (6, 1 << 20), (6, 4), (1, 1)])
+def test_smooth_weights_of_blocks(spark, monkeypatch, cells, terms):
+    """Few large blocks and many small ones, one range of terms and many, ids that repeat and a null one: the weights of the definition."""
+    monkeypatch.setattr(tm, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(tm, "RANGE_TERMS", terms)
+    words_of = [(1, "b a b é"), (2, ""), (3, None), (4, "a c zz"), (5, "q"), (1, "a 水 b"), (None, "a b"), (6, "w x y z a a")]
+    for rows in (words_of, [(i, t) for i, t in enumerate(t for _, t in words_of)], []):
+        df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+        got = tm.tfidf_smooth_l2(tm.gram_counts(df, ["id"], words("t"), 1, 2, " "), df, "id").collect()
+        want, held = [], [(i, collections.Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])) for i, w in ((i, (t or "").split()) for i, t in rows)]
+        found = collections.Counter(term for _, c in held for term in c)
+        for i, c in held:
+            want += [(i, term, n, n * (math.log((1 + len(rows)) / (1 + found[term])) + 1)) for term, n in c.items()]
+        norm = collections.Counter()
+        for i, _, _, w in want:
+            norm[i] += w * w
+        key = lambda r: (str(r[0]), r[1], r[2])
+        want = sorted(((i, t, n, w / math.sqrt(norm[i])) for i, t, n, w in want), key=key)
+        assert [tuple(r)[:3] for r in sorted(got, key=key)] == [w[:3] for w in want]
+        assert [r[3] for r in sorted(got, key=key)] == pytest.approx([w[3] for w in want])
+
+
+def test_smooth_weights_store_and_sort_no_cells(spark):
+    """Cells are stored in blocks, in far fewer rows, and the plan sends none by its term or its text."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from answerframe.session import checkpoint_folder
+
+    folder = Path(urlparse(checkpoint_folder(spark)).path)
+    df = spark.range(400).selectExpr("id", "concat_ws(' ', transform(sequence(0, 99), i -> char(97 + (i * id) % 26))) t")
+    cells = tm.word_counts(df, "id", "t")
+    before = set(folder.glob("*"))
+    found = tm.tfidf_smooth_l2(cells, df, "id")
+    tables = [str(t) for t in set(folder.glob("table-*")) - before]
+    assert sum(spark.read.parquet(t).count() for t in tables) < cells.count() / 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(term" not in plan
