@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import count_runs
 from ..session import discard, written
 from .joins import join_vocabulary
 from .terms import term_counts, trim_docfreq, vocabulary
@@ -16,6 +17,8 @@ from .terms import term_counts, trim_docfreq, vocabulary
 PART_NUMBERS = 8_000_000
 #: Columns of a block beside the wanted ones, which speed up the iteration.
 SPARE = 2
+#: The column that ``counted`` adds.
+COUNTS = "_term_counts"
 
 
 def _numbers(column, width: int) -> np.ndarray:
@@ -48,6 +51,7 @@ class TfidfSvd:
     ``fit`` learns vocabulary, document frequencies and right singular vectors, all of them tables in the shared
     folder. ``transform`` adds ``text_features`` (``array<double>`` of length ``k``; zeros for a null or empty text, one
     without a known term, and components beyond the matrix's rank). ``id_col`` tells texts apart and must be unique.
+    Both take texts or what ``counted`` made of them, where each text is counted once for all calls.
 
     The SVD is a block Lanczos iteration. Its newest block has one row a term. Texts are dealt into parts by a hash of
     their id; a step sends each term's row to the parts that hold the term, where ``AᵀA`` times the block is made of the
@@ -72,8 +76,17 @@ class TfidfSvd:
         self.components: DataFrame | None = None
         self.singular_values: np.ndarray | None = None
 
+    def counted(self, df: DataFrame, *keep: str) -> DataFrame:
+        """The columns ``keep`` (or all) of ``df`` with the term counts of its texts, stored; for several calls of ``fit`` and ``transform``."""
+        return written(df.select(*(keep or df.columns), count_runs(self.tokens).alias(COUNTS)))
+
+    def _cells(self, df: DataFrame) -> DataFrame:
+        if COUNTS in df.columns:
+            return df.select(self.id_col, F.inline(COUNTS))
+        return term_counts(df, [self.id_col], self.tokens)
+
     def fit(self, df: DataFrame) -> TfidfSvd:
-        cells = term_counts(df, [self.id_col], self.tokens)
+        cells = self._cells(df)
         kept = trim_docfreq(vocabulary(cells), self.min_df)
         idf = F.log((1 + df.agg(F.count("*")).scalar()) / (1 + F.col("doc_count"))) + 1
         # numbers follow a stored table, so that they stay
@@ -215,7 +228,7 @@ class TfidfSvd:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        cells = term_counts(df, [self.id_col], self.tokens)
+        cells = self._cells(df)
         found = join_vocabulary(cells, self.components, "doc_count", ["term"])
         raw = F.col("n") * F.col("idf")
         sums = found.groupBy(F.col(self.id_col).alias("_id")).agg(
@@ -223,4 +236,4 @@ class TfidfSvd:
         )
         vector = F.array(*[F.coalesce(F.col(f"_v{j}") / F.col("_length"), F.lit(0.0)) for j in range(self.k)])
         joined = df.join(sums, df[self.id_col].eqNullSafe(sums["_id"]), "left")
-        return joined.select(*[df[c] for c in df.columns], vector.alias("text_features"))
+        return joined.select(*[df[c] for c in df.columns if c != COUNTS], vector.alias("text_features"))

@@ -216,6 +216,7 @@ def term_ridge(spark, sf):
 def tfidf_svd_search(spark, sf):
     """TF-IDF → SVD → ridge, the text part refitted inside every fold."""
     rows = sp.hash_folds(labelled_documents(spark, sf), "doc_id", 3)
+    rows = TfidfSvd(terms2("text"), "doc_id").counted(rows, "doc_id", "Dataset", "fold", "quality", "toxic")
     train, holdout = sp.part(rows, "Train"), sp.part(rows, "Dev", "Test")
 
     def prepare(fit, other):

@@ -498,3 +498,26 @@ def test_models_are_dealt_evenly():
     assert sorted((f, m) for f, held in groups for m in held) == sorted((f, m) for f, k in ks.items() for m in range(len(k)))
     work = [sum(ks["a"][m] for m in held) for f, held in groups if f == "a"]
     assert len(work) == 12 and max(work) < 1.1 * min(work)
+
+
+def test_svd_counts_a_text_once_for_all_folds(spark):
+    """Counted texts give what plain ones give, and no call of fit or transform reads a text again."""
+    texts = ["a1 b1 c1 b1", "b1 c1 d1", None, "d1 a1 a1", "", "zz c1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    plain = TfidfSvd(terms2("t"), "id", k=2).fit(df)
+    want = {r.id: r.text_features for r in plain.transform(df).collect()}
+    counted = TfidfSvd(terms2("t"), "id").counted(df.mapInArrow(seen, df.schema), "id")
+    model = TfidfSvd(terms2("t"), "id", k=2).fit(counted)
+    got = model.transform(counted)
+    assert got.columns == ["id", "text_features"]
+    rows = {r.id: r.text_features for r in got.collect()}
+    assert rows.keys() == want.keys() and all(np.allclose(rows[i], want[i], atol=1e-9) for i in want)
+    assert TfidfSvd(terms2("t"), "id", k=2).fit(counted.where("id < 4")).transform(counted).count() == 6
+    assert calls.value == 6
